@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from .common import components, hash_words, mix64, save
 #: Words of a shingle, least similarity, bands and registers of a band.  A pair at 0.8 meets in a band with
 #: probability 0.99997, a pair at 0.3 with 0.06.
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 26, 5
-#: Pairs of the last step whose sketches agree in fewer registers are not read; a pair at 0.8 is 5 deviations above.
-LEAST_AGREED = 0.62
+#: Documents that meet as many in one task of the last step.
+BLOCK = 192
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -61,24 +62,24 @@ def prob_min_hash(h: np.ndarray, weight: np.ndarray, m: int) -> np.ndarray:
 
 
 def sketch(text: str | None, bands: int = BANDS, rows: int = ROWS):
-    """Number of distinct shingles, a key per band, and a byte per register.  Weights are 1 + ln(occurrences)."""
+    """Number of distinct shingles and a key per band.  Weights are 1 + ln(occurrences)."""
     h, n = np.unique(shingles(text), return_counts=True)
     if not len(h):
-        return 0, None, None
+        return 0, None
     won = prob_min_hash(h, 1 + np.log(n), bands * rows)
     key = np.arange(bands, dtype=np.uint64)
     for r in range(rows):
         key = mix64(key * _C[3] + won[r::rows])
-    return len(h), key.view(np.int64), (mix64(won) >> np.uint64(56)).astype(np.uint8).view(np.int8)
+    return len(h), key.view(np.int64)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    schema = "doc_id long, same long, size int, keys array<long>, bytes array<tinyint>"
+    schema = "doc_id long, same long, size int, keys array<long>"
 
     def run(batches):
         for batch in batches:
             got = [sketch(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.int8()))], names=["doc_id", "same", "size", "keys", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["doc_id", "same", "size", "keys"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(run, schema)
 
@@ -112,6 +113,55 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return save(both.mapInArrow(run, "u long, v long"), "near-links")
 
 
+def _compare_blocks(group: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links between members of a hub's group that are apart from it and all its members.
+
+    group: hub, rep, apart, parts and wholes (blocks of those apart, and of all).  Each block of those apart meets each
+    block of all in one task, which counts common shingles by matrix products and returns links only.
+    """
+    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ours = group.where("apart").select("hub", "rep", F.lit(True).alias("ours"), spot("parts").alias("i"), every("wholes").alias("j"))
+    theirs = group.select("hub", "rep", F.lit(False).alias("ours"), spot("wholes").alias("j"), every("parts").alias("i"))
+    rows = ours.unionByName(theirs)
+    needed = save(group.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
+    texts = save(docs.join(needed, "doc_id", "left_semi"), "near-texts")
+    rows = rows.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ours = pdf.ours.to_numpy()
+        ids, sets = pdf.rep.to_numpy(), [np.unique(shingles(t)) for t in pdf.text]
+        n = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), n)
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        in_ours = np.bincount(column, ours[owner]) > 0
+        in_both = in_ours & (np.bincount(column, ~ours[owner]) > 0)
+        keep = in_both[column]
+        owner, column = owner[keep], (np.cumsum(in_both) - 1)[column[keep]]
+        row = np.where(ours, np.cumsum(ours), np.cumsum(~ours)) - 1
+        both = np.zeros((ours.sum(), (~ours).sum()), np.float32)
+        for a in range(0, int(in_both.sum()), 8192):
+            some = (column >= a) & (column < a + 8192)
+            o, c = owner[some], column[some] - a
+            left, right = np.zeros((both.shape[0], 8192), np.float32), np.zeros((both.shape[1], 8192), np.float32)
+            mine = ours[o]
+            left[row[o[mine]], c[mine]] = 1
+            right[row[o[~mine]], c[~mine]] = 1
+            both += left @ right.T
+        u, v, nu, nv = ids[ours], ids[~ours], n[ours], n[~ours]
+        x, y = np.nonzero((both >= least * (nu[:, None] + nv[None, :] - both.astype(np.float64)) - 1e-9) & (u[:, None] != v[None, :]))
+        every, lab = np.concatenate([u, v]), np.arange(len(u) + len(v))
+        y = y + len(u)
+        while len(x) and (lab[x] != lab[y]).any():
+            least_of = np.minimum(lab[x], lab[y])
+            np.minimum.at(lab, x, least_of)
+            np.minimum.at(lab, y, least_of)
+        some = np.flatnonzero(lab != np.arange(len(lab)))  # what is linked, tied to one of its own: not all pairs
+        return pd.DataFrame({"u": every[some], "v": every[lab[some]]})
+
+    return save(rows.groupBy("hub", "i", "j").applyInPandas(run, "u long, v long"), "near-more")
+
+
 def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id), n_shingles: a row per row of ``docs``.
 
@@ -121,13 +171,14 @@ def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     Equal texts are one document from the start.  In each bucket of a band all members are compared with one of them,
     the one that shares most buckets, so a bucket of n costs n - 1 pairs; what that connects, across all bands, is
-    one component.  Then members of one bucket that are in different components still are compared with each other,
-    if their sketches agree enough; in buckets of true copies none are left.
+    one component.  Members of a bucket that are not in the component of that one are then compared with all its
+    buckets' members, in blocks whose common shingles are counted by matrix products; only links come out.  In
+    groups of true copies nothing is left for this.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = save(_sketches(docs), "near-sketches")
     words = rows.where("size > 0 and doc_id is not null")
-    reps = save(words.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("size", "keys", "bytes"), "doc_id").alias("s")).select("same", "rep", "s.*"), "near-reps")
+    reps = save(words.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("size", "keys"), "doc_id").alias("s")).select("same", "rep", "s.*"), "near-reps")
     banded = reps.select("rep", "size", F.posexplode("keys").alias("band", "key")).select("rep", "size", F.xxhash64("band", "key").alias("key"))
     shared = save(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
     members = save(banded.join(shared, "key"), "near-members")
@@ -140,16 +191,18 @@ def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     links = _verify(stars, docs, least)
     first = save(components(links, "near-first"), "near-first-found")
 
-    named = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    open_ = save(named.join(save(mixed, "near-mixed"), "key").join(reps.select("rep", "bytes"), "rep"), "near-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    col = lambda s, c: F.col(f"{s}.{c}")
-    agreed = F.size(F.filter(F.zip_with(col("x", "bytes"), col("y", "bytes"), lambda a, b: a == b), lambda z: z))
-    pairs = x.join(y, (col("x", "key") == col("y", "key")) & (col("x", "component") < col("y", "component")) & fits(col("x", "size"), col("y", "size")) & (agreed >= LEAST_AGREED * BANDS * ROWS))
-    pairs = save(pairs.select(col("x", "rep").alias("u"), col("y", "rep").alias("v")).distinct(), "near-pairs")
-    more = _verify(pairs, docs, least) if pairs.limit(1).count() else None
-    found = first if more is None else components(links.union(more), "near-second")
+    of = first.select(F.col("id").alias("rep"), "component")
+    group = members.join(hubs, "key").select("hub", "rep").distinct().join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    group = save(group, "near-groups")
+    # The hub's component is found in its group, since it is a member of its own buckets.
+    of_hub = group.where("hub = rep").select("hub", F.col("component").alias("hub_component"))
+    group = save(group.join(of_hub, "hub").select("hub", "rep", (F.col("component") != F.col("hub_component")).alias("apart")), "near-apart")
+    sizes = group.groupBy("hub").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("m")).where("m > 0")
+    sizes = save(sizes.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("wholes")), "near-sizes")
+    found = first
+    if sizes.limit(1).count():
+        more = _compare_blocks(group.join(sizes, "hub"), docs, least)
+        found = components(links.union(more), "near-second")
 
     done = reps.select("same", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     done = save(done, "near-done")
