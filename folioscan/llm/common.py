@@ -36,13 +36,14 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def drop_saved(df: DataFrame | None) -> None:
-    """Delete a table that :func:`save` wrote and nothing reads any more."""
-    path = getattr(df, "_saved_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def drop_saved(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`save` wrote, once what was made of them is saved in turn."""
+    for df in tables:
+        path = getattr(df, "_saved_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_mod(col: str, mod: int):
@@ -103,5 +104,9 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     out = maps[-1]
     for m in reversed(maps[:-1]):  # compose: m maps to the vertices of the next round, or to a finished root
         last = out.select(F.col("u").alias("p"), F.col("p").alias("r"))
-        out = save(m.join(last, "p", "left").select("u", F.coalesce("r", "p").alias("p")), tag)
-    return out.select(F.col("u").alias("id"), F.col("p").alias("component"))
+        new = save(m.join(last, "p", "left").select("u", F.coalesce("r", "p").alias("p")), tag)
+        drop_saved(m, out)
+        out = new
+    found = out.select(F.col("u").alias("id"), F.col("p").alias("component"))
+    found._saved_path = out._saved_path
+    return found

@@ -20,7 +20,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: At most so many documents of a language are fitted on, those with the smallest hashes; a documented bound.
 FIT_DOCS = 3000
 #: Bytes of the longest piece; bytes of words that are scored many at a time; words a worker remembers.
-PIECE_BYTES, WORD_BYTES, KNOWN_WORDS = 12, 40, 300_000
+PIECE_BYTES, WORD_BYTES, KNOWN_WORDS = 12, 40, 150_000
 #: Languages that are scored in one pass; more take further passes.
 LANGS_AT_ONCE = 32
 UNDETERMINED = "und"
@@ -215,7 +215,7 @@ def _score(batches, shared, path: str, text: str):
         at, n = 0, batch.num_rows
         while at < n:  # some million characters at a time
             end, size = at, 0
-            while end < n and (end == at or size < 3_000_000):
+            while end < n and (end == at or size < 1_500_000):
                 size += len(texts[end].as_py() or "")
                 end += 1
             yield _score_some(batch.slice(at, end - at), texts.slice(at, end - at), v, names, prob)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, save
+from .common import drop_saved, mix64, save
 
 #: Lines of fewer characters are compared for equality only: one edit makes another word of a short line.
 NEAR_CHARS = 20
@@ -128,11 +128,14 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     variants = save(_variants(texts), "lines-variants")
 
     place = F.struct(F.col("at").alias("doc_id"), "line_no", "id")
+    drop_saved(common, holders, survivors)
     meet = variants.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("kind") == 0, place)).alias("own"), F.min(F.when(F.col("kind") != 0, place)).alias("other")).where("n > 1").select("key", "own", "other")
-    met = variants.join(save(meet, "lines-met"), "key")
+    meet = save(meet, "lines-met")
+    met = variants.join(meet, "key")
     earlier = F.when(F.col("kind") == 0, F.col("other")).when(F.col("kind") == 1, F.col("own")).otherwise(F.col("other"))
     candidates = met.select("id", place.alias("self"), earlier.alias("e")).where("e.id <> id and e < self").groupBy("id").agg(F.collect_set("e").alias("es"))
     candidates = save(candidates.select("id", F.explode("es").alias("e")).select("id", "e", F.col("e.id").alias("other")), "lines-candidates")
+    drop_saved(variants, meet)
     a, b = texts.select("id", F.col("line").alias("a")), texts.select(F.col("id").alias("other"), F.col("line").alias("b"))
     pairs = candidates.join(a, "id").join(b, "other")
     near = pairs.where(_one_edit(F.col("a"), F.col("b"))).groupBy("id").agg(F.min("e").alias("e")).select("id", F.col("e.doc_id").alias("near_doc"), F.col("e.line_no").alias("near_line"))
@@ -140,6 +143,7 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
 
     verdicts = unique.where("times > 1").select("id", "first").join(near, "id", "full")
     verdicts = save(verdicts, "lines-verdicts")
+    drop_saved(unique, texts, candidates, near)
     out = lines.select("doc_id", "line_no", "id").join(verdicts, "id", "left")
     itself = F.struct("doc_id", "line_no")
     first = F.coalesce("first", itself)
@@ -167,7 +171,8 @@ def without_duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> Da
     Columns keep their names and order; n_chars, if there is one, is the new text's length.  Rows that had no word
     from the start stay as they are.
     """
-    dropped = duplicate_lines(docs, near_chars).where("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    every = duplicate_lines(docs, near_chars)
+    dropped = every.where("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     dropped = save(dropped, "lines-dropped")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     rows = rows.join(dropped, "doc_id", "left").select("row", "gone")

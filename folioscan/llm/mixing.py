@@ -37,12 +37,6 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share_num: int = 3, shar
     return found.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def _match(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-    """Inner join on keys that may be null, with the right side's other columns."""
-    right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    return left.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
-
-
 def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int = 2, seed: str = "mix", keep: bool = True) -> DataFrame:
     """One row per row of ``docs``: ``row`` (the whole row, if ``keep``), doc_id, size, source_size, target, copies, taken.
 
@@ -55,23 +49,26 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int = 2, seed: st
     table gives an empty result.
     """
     rows = docs.select(
-        (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.lit(None).cast("int")).alias("row"), F.col("doc_id"), F.col("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.lit(None).cast("int")).alias("row"), F.col("doc_id"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"),
     )
     rows = rows.withColumn("part", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, GROUPS_HEX), 16, 10).cast("int"))
-    parts = rows.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
-    upto = lambda *keys: Window.partitionBy("source", *keys)
+    parts = rows.groupBy("key", "size", "part").agg(F.count("*").alias("n"))
+    upto = lambda *keys: Window.partitionBy("key", *keys)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    first = sizes.select("source", "size", F.coalesce(F.sum("n").over(before(upto().orderBy("size"))), F.lit(0)).alias("smaller"))
-    inside = parts.select("source", "size", "part", F.coalesce(F.sum("n").over(before(upto("size").orderBy("part"))), F.lit(0)).alias("earlier"))
-    targets = source_targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, *share, cap)
-    placed = _match(first, targets, "source")
-    placed = _match(inside, placed, "source", "size")
-    full = _match(rows, placed, "source", "size", "part")
+    sizes = parts.groupBy("key", "size").agg(F.sum("n").alias("n"))
+    first = sizes.select("key", "size", F.coalesce(F.sum("n").over(before(upto().orderBy("size"))), F.lit(0)).alias("smaller"))
+    inside = parts.select("key", "size", "part", F.coalesce(F.sum("n").over(before(upto("size").orderBy("part"))), F.lit(0)).alias("earlier"))
+    source = F.when(F.col("key") != "n", F.substring("key", 2, 2147483647))
+    totals = sizes.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    targets = source_targets(totals.select(source.alias("source"), "source_size"), weights, *share, cap)
+    targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"), "source_size", "target")
+    placed = inside.join(first.join(targets, "key"), ["key", "size"])
+    # The rows are dealt once, by the keys of both this join and the window below.
+    full = rows.join(placed, ["key", "size", "part"])
     rank = F.col("smaller") + F.col("earlier") + F.row_number().over(upto("size", "part").orderBy("doc_id"))
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    u = _u(seed, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    u = _u(seed, F.col("key"))
     full = full.withColumn("rank", rank).withColumn("e", e).withColumn("u", u)
     copies = F.least(F.floor(F.col("e") * F.col("rank") + F.col("u")) - F.floor(F.col("e") * (F.col("rank") - 1) + F.col("u")), F.ceil("e"))
     return full.select("row", "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

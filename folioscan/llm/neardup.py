@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hash_words, mix64, save
+from .common import components, drop_saved, hash_words, mix64, save
 
 #: Words of a shingle, least similarity, bands and registers of a band.  A pair at 0.8 meets in a band with
 #: probability 0.99997, a pair at 0.3 with 0.06.
@@ -110,7 +110,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
     left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
     both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-    return save(both.mapInArrow(run, "u long, v long"), "near-links")
+    links = save(both.mapInArrow(run, "u long, v long"), "near-links")
+    drop_saved(needed, texts)
+    return links
 
 
 def _compare_blocks(group: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -159,7 +161,9 @@ def _compare_blocks(group: DataFrame, docs: DataFrame, least: float) -> DataFram
         some = np.flatnonzero(lab != np.arange(len(lab)))  # what is linked, tied to one of its own: not all pairs
         return pd.DataFrame({"u": every[some], "v": every[lab[some]]})
 
-    return save(rows.groupBy("hub", "i", "j").applyInPandas(run, "u long, v long"), "near-more")
+    more = save(rows.groupBy("hub", "i", "j").applyInPandas(run, "u long, v long"), "near-more")
+    drop_saved(needed, texts)
+    return more
 
 
 def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -183,7 +187,8 @@ def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     shared = save(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
     members = save(banded.join(shared, "key"), "near-members")
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    ranked = members.join(save(degree, "near-degree"), "rep")
+    degree = save(degree, "near-degree")
+    ranked = members.join(degree, "rep")
     hubs = save(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("rep"), "size")).alias("h")).select("key", (-F.col("h.rep")).alias("hub"), F.col("h.size").alias("hub_size")), "near-hubs")
     fits = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b)
     stars = members.join(hubs, "key").where((F.col("rep") != F.col("hub")) & fits(F.col("size"), F.col("hub_size")))
@@ -194,8 +199,10 @@ def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     of = first.select(F.col("id").alias("rep"), "component")
     group = members.join(hubs, "key").select("hub", "rep").distinct().join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     group = save(group, "near-groups")
+    drop_saved(shared, degree, members, hubs, stars)
     # The hub's component is found in its group, since it is a member of its own buckets.
     of_hub = group.where("hub = rep").select("hub", F.col("component").alias("hub_component"))
+    named = group
     group = save(group.join(of_hub, "hub").select("hub", "rep", (F.col("component") != F.col("hub_component")).alias("apart")), "near-apart")
     sizes = group.groupBy("hub").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("m")).where("m > 0")
     sizes = save(sizes.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("wholes")), "near-sizes")
@@ -206,6 +213,7 @@ def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     done = reps.select("same", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     done = save(done, "near-done")
+    drop_saved(reps, links, named, group, sizes)
     out = rows.select("doc_id", "same", "size").join(done, "same", "left")
     of = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", of.alias("class_id"), F.coalesce(F.col("doc_id") == of, F.lit(True)).alias("kept"), F.col("size").cast("long").alias("n_shingles"))
