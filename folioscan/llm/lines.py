@@ -35,7 +35,9 @@ def _halves(line: Column, n: Column) -> Column:
 
 
 def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n, _B, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    p = np.full(n + 1, _B, np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
 
 
 def deletions(line: str, lo: int, hi: int):
