@@ -2,11 +2,169 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions.regex_compat import anchors, to_java, to_re2
+from .operators import scan as S
+from .operators import tex
+from .operators.rules import RULES
+from .sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_DUCK = f"WITH corpus AS ({fixtures.CORPUS_SQL}) "
+#: Rules that RE2 can express as they are.
+PORTABLE = [r for r in RULES if "(?!" not in r.pattern]
+
+
+def q_rule_hits(spark, sf_dir):
+    """Documents and matches per rule: one projection with a count per rule, summed before anything is shuffled.
+
+    A rule's pattern runs on the texts that hold one of its anchors only.
+    """
+    docs = corpus(spark, sf_dir).withColumn("low", F.lower("text"))
+
+    def count(r):
+        c, need = F.regexp_count("text", F.lit(to_java(r.pattern, r.flags))), anchors(r.pattern, r.flags)
+        gates = [F.col("filetype") == "tex"] if r.tex_only else []
+        if need:
+            gates.append(functools.reduce(lambda x, y: x | y, [F.contains(F.col("low" if "i" in r.flags else "text"), F.lit(a)) for a in need]))
+        return F.when(functools.reduce(lambda x, y: x & y, gates), c).otherwise(0) if gates else c
+
+    counts = [count(r).alias(f"r{k}") for k, r in enumerate(PORTABLE)]
+    sums = docs.select(*counts).agg(*[f(F.col(f"r{k}")).cast("long").alias(f"{n}{k}") for k in range(len(PORTABLE)) for n, f in (("h", F.sum), ("d", lambda c: F.sum((c > 0).cast("int"))))])
+    rows = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col(f"d{k}").alias("docs"), F.col(f"h{k}").alias("hits")) for k, r in enumerate(PORTABLE)])
+    return sums.select(F.inline(rows))
+
+
+def _rule_hits_sql() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    one = lambda r: f"SELECT {q(r.id)} AS rule_id, CASE WHEN {'filetype = ' + q('tex') if r.tex_only else 'true'} THEN len(regexp_extract_all(text, {q(to_re2(r.pattern, r.flags))})) ELSE 0 END AS n FROM corpus"
+    return _DUCK + "SELECT rule_id, count(*) FILTER (n > 0)::BIGINT AS docs, sum(n)::BIGINT AS hits FROM (" + " UNION ALL ".join(one(r) for r in PORTABLE) + ") GROUP BY rule_id"
+
+
+def q_findings(spark, sf_dir):
+    """Every finding, judged by its guards."""
+    return S.scan(corpus(spark, sf_dir))
+
+
+def q_rule_severity(spark, sf_dir):
+    """Findings and selected findings per rule and severity."""
+    return q_findings(spark, sf_dir).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.sum(F.col("selected").cast("long")).alias("selected"))
+
+
+def q_fixed(spark, sf_dir):
+    """Mended texts by their hash and length."""
+    return S.fixed(corpus(spark, sf_dir)).select("doc_id", F.md5(F.col("fixed").cast("binary")).alias("fixed_md5"), F.length("fixed").cast("long").alias("fixed_chars"))
+
+
+def q_metrics(spark, sf_dir):
+    """Counts behind the densities, and which densities are high."""
+    docs = corpus(spark, sf_dir)
+    sentences = F.filter(F.transform(F.split("text", r"[.!?][ \t-\r]+", -1), lambda s: F.regexp_replace(s, r"^[ \t-\r]+|[ \t-\r]+$", "")), lambda s: F.length(s) > S.SENTENCE_CHARS)
+    opener = r"(?i)^(?:" + "|".join(t.replace(" ", r"[ \t-\r]+") for t in S.R.TRANSITIONS) + r")(?![A-Za-z0-9_])"
+    dashes = F.regexp_count("text", F.lit("\u2014")) + F.when(F.col("filetype") == "tex", F.regexp_count("text", F.lit("(?<!-)---(?!-)"))).otherwise(0)
+    x = docs.select("doc_id", F.regexp_count("text", F.lit(r"[^ \t-\r]+")).alias("words"), dashes.alias("em_dashes"), F.regexp_count("text", F.lit(";")).alias("semicolons"), sentences.alias("s"))
+    x = x.select("doc_id", "words", "em_dashes", "semicolons", F.size("s").alias("sentences"), F.size(F.filter("s", lambda s: s.rlike(opener))).alias("transitions"))
+    long = F.col("words") > S.MANY_WORDS
+    return x.select(
+        "doc_id", *[F.col(c).cast("long").alias(c) for c in ("words", "em_dashes", "semicolons", "sentences", "transitions")],
+        (long & (F.col("em_dashes") * 1000 > S.EM_DASHES * F.col("words"))).alias("many_em_dashes"),
+        (long & (F.col("semicolons") >= S.FEWEST_SEMICOLONS) & (F.col("semicolons") * 1000 > S.SEMICOLONS * F.col("words"))).alias("many_semicolons"),
+        ((F.col("sentences") >= S.FEWEST_SENTENCES) & (F.col("transitions") >= S.FEWEST_TRANSITIONS) & (F.col("transitions") * 100 > 18 * F.col("sentences"))).alias("many_transitions"),
+    )
+
+
+_OPENERS = "|".join(t.replace(" ", r"[ \t-\r]+") for t in S.R.TRANSITIONS)
+_METRICS_SQL = _DUCK + rf""", s AS (SELECT doc_id, filetype, text, list_filter(list_transform(string_split_regex(text, '[.!?][ \t-\r]+'), lambda x: regexp_replace(x, '^[ \t-\r]+|[ \t-\r]+$', '', 'g')), lambda x: length(x) > 20) AS s FROM corpus),
+m AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \t-\r]+'))::BIGINT AS words,
+ (length(text) - length(replace(text, '—', '')) + CASE WHEN filetype = 'tex' THEN len(list_filter(regexp_extract_all(text, '-+'), lambda x: length(x) = 3)) ELSE 0 END)::BIGINT AS em_dashes,
+ (length(text) - length(replace(text, ';', '')))::BIGINT AS semicolons, len(s)::BIGINT AS sentences, len(list_filter(s, lambda x: regexp_matches(x, '(?i)^(?:{_OPENERS})\b')))::BIGINT AS transitions FROM s)
+SELECT *, words > 200 AND em_dashes * 1000 > 6 * words AS many_em_dashes, words > 200 AND semicolons >= 8 AND semicolons * 1000 > 20 * words AS many_semicolons,
+ sentences >= 8 AND transitions >= 3 AND transitions * 100 > 18 * sentences AS many_transitions FROM m"""
+
+
+def q_cites(spark, sf_dir):
+    """Keys cited per document."""
+    return tex.used_keys(tex.citations(corpus(spark, sf_dir)))
+
+
+def _defined(spark):
+    return spark.sql("SELECT * FROM VALUES ('smith2020'), ('lee2019'), ('other1999') AS d(key)")
+
+
+def q_cross_check(spark, sf_dir):
+    """Keys cited but not defined, and defined but not cited."""
+    return tex.cross_check(q_cites(spark, sf_dir), _defined(spark))
+
+
+_CITES_SQL = _DUCK + r""", lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM corpus WHERE filetype = 'tex'),
+live AS (SELECT doc_id, regexp_extract(l, '^((?:[^%\\]|\\.)*)', 1) AS l FROM lines),
+cites AS (SELECT doc_id, unnest(regexp_extract_all(l, '(?i)\\(?:CMDS)s?\*?(?:\s*\[[^\]]*\]){0,2}\s*\{([^{}]*)\}', 1)) AS k FROM live),
+used AS (SELECT DISTINCT doc_id, trim(k) AS key FROM (SELECT doc_id, unnest(string_split(k, ',')) AS k FROM cites) WHERE trim(k) NOT IN ('', '*')) """.replace("CMDS", "|".join(tex.CITE_COMMANDS))
+_CHECK_SQL = _CITES_SQL + """, d(key) AS (VALUES ('smith2020'), ('lee2019'), ('other1999'))
+SELECT key, 'missing' AS state FROM (SELECT key FROM used EXCEPT SELECT key FROM d) UNION ALL SELECT key, 'unused' AS state FROM (SELECT key FROM d EXCEPT SELECT key FROM used)"""
+
+
+def _titles(spark, sf_dir):
+    """Two titles and author fields per document, the second with changes that hang on doc_id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    word = F.split("text", r"[ \t-\r]+")
+    some = lambda a, n: F.array_join(F.slice(word, a, n), " ")
+    return docs.where(F.size(word) >= 14).select(
+        "doc_id", some(1, 8).alias("a"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("{\\em "), some(1, 8), F.lit("}"))).when(F.col("doc_id") % 3 == 1, some(2, 8)).otherwise(some(1, 6)).alias("b"),
+        F.array_join(F.slice(word, 9, 3), " and ").alias("names"), F.array_join(F.slice(word, 10, 3), " and ").alias("others"),
+    )
+
+
+def q_title_similarity(spark, sf_dir):
+    """Normalised titles and their similarity, and the overlap of last names."""
+    t = _titles(spark, sf_dir).select("doc_id", X.normalize_title(F.col("a")).alias("a"), X.normalize_title(F.col("b")).alias("b"), X.author_last_names(F.col("names")).alias("n"), X.author_last_names(F.col("others")).alias("m"))
+    return t.select("doc_id", "a", "b", F.round(X.title_similarity(F.col("a"), F.col("b")), 4).cast("decimal(10,4)").alias("similarity"), F.round(X.author_overlap(F.col("n"), F.col("m")), 4).cast("decimal(10,4)").alias("overlap"))
+
+
+def _plain_sql(c: str) -> str:
+    return f"translate(lower({c}), '{X.MARKED}', '{X.PLAIN}')"
+
+
+_TITLE_SQL = rf"""WITH w AS (SELECT doc_id, string_split_regex(text, '[ \t-\r]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT doc_id, array_to_string(w[1:8], ' ') AS a, CASE doc_id % 3 WHEN 0 THEN '{{\em ' || array_to_string(w[1:8], ' ') || '}}' WHEN 1 THEN array_to_string(w[2:9], ' ') ELSE array_to_string(w[1:6], ' ') END AS b,
+ w[9:11] AS n, w[10:12] AS m FROM w WHERE len(w) >= 14),
+u AS (SELECT doc_id, {{norm_a}} AS a, {{norm_b}} AS b, {{last_n}} AS n, {{last_m}} AS m FROM t)
+SELECT doc_id, a, b, CAST(round(CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 ELSE greatest(1 - levenshtein(a, b) / greatest(length(a), length(b)),
+ len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' '))))) END, 4) AS DECIMAL(10,4)) AS similarity,
+ CAST(round(CASE WHEN len(n) = 0 THEN 1 WHEN len(m) = 0 THEN 0 ELSE len(list_filter(n, lambda x: list_contains(m, x))) / len(n) END, 4) AS DECIMAL(10,4)) AS overlap FROM u"""
+_norm = lambda c: "trim(regexp_replace(" + _plain_sql(f"regexp_replace(regexp_replace({c}, '\\\\[a-zA-Z]+\\s*', ' ', 'g'), '[{{}}$\\\\]', '', 'g')") + ", '[^a-z0-9]+', ' ', 'g'))"
+_last = lambda c: f"list_filter(list_transform({c}, lambda x: regexp_replace({_plain_sql('trim(CASE WHEN contains(x, chr(44)) THEN split_part(x, chr(44), 1) ELSE x END)')}, '[^a-z-]', '', 'g')), lambda x: x <> '')"
+_TITLE_SQL = _TITLE_SQL.replace("{norm_a}", _norm("a").replace("{{}}", "{}")).replace("{norm_b}", _norm("b").replace("{{}}", "{}")).replace("{last_n}", _last("n")).replace("{last_m}", _last("m"))
+
+
+def q_identifiers(spark, sf_dir):
+    """DOIs and arXiv ids in the texts."""
+    raw = F.regexp_extract("text", r"(?:doi:|doi\.org/)[^ \t-\r]+", 0)
+    return corpus(spark, sf_dir).select("doc_id", X.clean_doi(raw).alias("doi"), X.arxiv_id(F.col("text")).alias("arxiv")).where("doi is not null or arxiv is not null")
+
+
+_IDS_SQL = _DUCK + r""", r AS (SELECT doc_id, regexp_extract(text, '(?:doi:|doi\.org/)[^ \t-\r]+') AS raw, regexp_extract(text, '(?i)(?:arxiv[:\s/]*|abs/)([0-9]{4}\.[0-9]{4,5})', 1) AS arxiv FROM corpus),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(raw, '(?i)^(?:https?://)?(?:dx\.)?doi\.org/', ''), '(?i)^doi:\s*', ''), '[.,;)\]}]+$', '') AS d, arxiv FROM r)
+SELECT doc_id, CASE WHEN regexp_matches(d, '^10\.[0-9]{4,9}/\S+$') THEN d END AS doi, nullif(arxiv, '') AS arxiv FROM c WHERE regexp_matches(d, '^10\.[0-9]{4,9}/\S+$') OR arxiv <> ''"""
+
+
+def q_report_summary(spark, sf_dir):
+    """Findings per severity, per category, and in all."""
+    f = q_findings(spark, sf_dir)
+    return f.groupingSets([[F.col("severity")], [F.col("category")], []], F.col("severity"), F.col("category")).agg(F.count("*").alias("n"), F.sum(F.col("selected").cast("long")).alias("selected"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (q_rule_hits, q_findings, q_rule_severity, q_fixed, q_metrics, q_cites, q_cross_check, q_title_similarity, q_identifiers, q_report_summary)}
+ORACLES: dict[str, str] = {"q_rule_hits": _rule_hits_sql(), "q_metrics": _METRICS_SQL, "q_cites": _CITES_SQL + "SELECT doc_id, key FROM used", "q_cross_check": _CHECK_SQL, "q_title_similarity": _TITLE_SQL, "q_identifiers": _IDS_SQL}
