@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.regex_compat import anchors, to_java, to_re2
+from .operators import bib, pdf, tex
 from .operators import scan as S
-from .operators import tex
 from .operators.rules import RULES
 from .sources import fixtures
 
@@ -166,5 +166,45 @@ def q_report_summary(spark, sf_dir):
     return f.groupingSets([[F.col("severity")], [F.col("category")], []], F.col("severity"), F.col("category")).agg(F.count("*").alias("n"), F.sum(F.col("selected").cast("long")).alias("selected"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (q_rule_hits, q_findings, q_rule_severity, q_fixed, q_metrics, q_cites, q_cross_check, q_title_similarity, q_identifiers, q_report_summary)}
-ORACLES: dict[str, str] = {"q_rule_hits": _rule_hits_sql(), "q_metrics": _METRICS_SQL, "q_cites": _CITES_SQL + "SELECT doc_id, key FROM used", "q_cross_check": _CHECK_SQL, "q_title_similarity": _TITLE_SQL, "q_identifiers": _IDS_SQL}
+def _bib_sources(spark, sf_dir):
+    """A BibTeX source of one or two entries per document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    title = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(60)), "[^a-zA-Z ]", "")
+    one = F.format_string('@Article{k%d,\n  title = {The {X} %s},\n  author = "Lee, A. and Kim, B.", year = %d,\n  doi = {https://doi.org/10.1000/%d}, month = mar # " 3"\n}\n', F.col("doc_id"), title, 1990 + F.col("doc_id") % 35, F.col("doc_id"))
+    two = F.when(F.col("doc_id") % 3 == 0, F.format_string("@misc(k%d, title = {Again}, eprint = {2106.%05d})\n", F.col("doc_id"), F.col("doc_id") % 100000)).otherwise("% @misc{gone, title = {x}}\n")
+    return docs.select("doc_id", F.concat(one, two).alias("src"))
+
+
+def q_bib_entries(spark, sf_dir):
+    """Parsed entries with what follows from their fields."""
+    e = bib.entries(_bib_sources(spark, sf_dir))
+    return e.select("doc_id", "type", "key", "line", F.trim(F.regexp_replace("title", " +", " ")).alias("title"), "year", "doi", "arxiv", F.coalesce(F.col("fields")["month"]["value"], F.lit("")).alias("month"))
+
+
+_BIB_SQL = """WITH d AS (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 60), '[^a-zA-Z ]', '', 'g') AS t FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, 'article' AS type, 'k' || doc_id AS key, 1::INT AS line, trim(regexp_replace('The X ' || t, ' +', ' ', 'g')) AS title, (1990 + doc_id % 35)::VARCHAR AS year, '10.1000/' || doc_id AS doi, NULL::VARCHAR AS arxiv, 'March 3' AS month FROM d
+UNION ALL SELECT doc_id, 'misc', 'k' || doc_id, 6::INT, 'Again', NULL, NULL, '2106.' || lpad((doc_id % 100000)::VARCHAR, 5, '0'), '' FROM d WHERE doc_id % 3 = 0"""
+
+
+def q_duplicate_keys(spark, sf_dir):
+    """Keys that a source defines more than once."""
+    return bib.entries(_bib_sources(spark, sf_dir)).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def q_pdf_lines(spark, sf_dir):
+    """Pages put together from the words of documents, laid out in lines of seven, three to a page."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    words = docs.select("doc_id", F.posexplode(F.slice(F.split("text", r"[ \t-\r]+"), 1, 60)).alias("seq", "str"))
+    k = F.col("seq") % 21
+    items = words.select("doc_id", F.floor(F.col("seq") / 21 + 1).alias("page"), "seq", "str", ((k % 7) * 10.0 + (F.col("seq") % 2)).alias("x"), (F.floor(k / 7) * 12.0).alias("y"), F.lit(9.5).alias("width"))
+    return pdf.page_texts(items)
+
+
+_PDF_SQL = r"""WITH w AS (SELECT doc_id, string_split_regex(text, '[ \t-\r]+')[1:60] AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT doc_id, unnest(w) AS str, unnest(range(len(w))) AS seq FROM w),
+p AS (SELECT doc_id, seq // 21 + 1 AS page, seq, str, (seq % 21) % 7 * 10.0 + seq % 2 AS x, ((seq % 21) // 7) * 12.0 AS y FROM i),
+g AS (SELECT *, lag(x) OVER v AS px, lag(y) OVER v AS py, lag(str) OVER v AS ps FROM p WINDOW v AS (PARTITION BY doc_id, page ORDER BY seq))
+SELECT doc_id, page, string_agg(CASE WHEN ps IS NULL THEN '' WHEN abs(y - py) >= 2 THEN chr(10) WHEN ps <> '' AND x - (px + 9.5) > 1 THEN ' ' ELSE '' END || str, '' ORDER BY seq) AS text FROM g GROUP BY doc_id, page"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (q_rule_hits, q_findings, q_rule_severity, q_fixed, q_metrics, q_cites, q_cross_check, q_title_similarity, q_identifiers, q_report_summary, q_bib_entries, q_duplicate_keys, q_pdf_lines)}
+ORACLES: dict[str, str] = {"q_rule_hits": _rule_hits_sql(), "q_metrics": _METRICS_SQL, "q_cites": _CITES_SQL + "SELECT doc_id, key FROM used", "q_cross_check": _CHECK_SQL, "q_title_similarity": _TITLE_SQL, "q_identifiers": _IDS_SQL, "q_bib_entries": _BIB_SQL, "q_duplicate_keys": "SELECT doc_id, 'k' || doc_id AS key, 2::BIGINT AS n FROM documents WHERE doc_id % 3 = 0", "q_pdf_lines": _PDF_SQL}
