@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.regex_compat import anchors, to_java, to_re2
-from .operators import bib, pdf, tex
+from .operators import bib, pdf, report, tex
 from .operators import scan as S
 from .operators.rules import RULES
 from .sources import fixtures
@@ -166,6 +166,16 @@ def q_report_summary(spark, sf_dir):
     return f.groupingSets([[F.col("severity")], [F.col("category")], []], F.col("severity"), F.col("category")).agg(F.count("*").alias("n"), F.sum(F.col("selected").cast("long")).alias("selected"))
 
 
+def q_report_markdown(spark, sf_dir):
+    """A Markdown report per document that has findings."""
+    return report.markdown(q_findings(spark, sf_dir))
+
+
+def q_crc32(spark, sf_dir):
+    """Checksums of the texts."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+
+
 def _bib_sources(spark, sf_dir):
     """A BibTeX source of one or two entries per document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
@@ -206,5 +216,5 @@ p AS (SELECT doc_id, seq // 21 + 1 AS page, seq, str, (seq % 21) % 7 * 10.0 + se
 g AS (SELECT *, lag(x) OVER v AS px, lag(y) OVER v AS py, lag(str) OVER v AS ps FROM p WINDOW v AS (PARTITION BY doc_id, page ORDER BY seq))
 SELECT doc_id, page, string_agg(CASE WHEN ps IS NULL THEN '' WHEN abs(y - py) >= 2 THEN chr(10) WHEN ps <> '' AND x - (px + 9.5) > 1 THEN ' ' ELSE '' END || str, '' ORDER BY seq) AS text FROM g GROUP BY doc_id, page"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (q_rule_hits, q_findings, q_rule_severity, q_fixed, q_metrics, q_cites, q_cross_check, q_title_similarity, q_identifiers, q_report_summary, q_bib_entries, q_duplicate_keys, q_pdf_lines)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (q_rule_hits, q_findings, q_rule_severity, q_fixed, q_metrics, q_cites, q_cross_check, q_title_similarity, q_identifiers, q_report_summary, q_report_markdown, q_crc32, q_bib_entries, q_duplicate_keys, q_pdf_lines)}
 ORACLES: dict[str, str] = {"q_rule_hits": _rule_hits_sql(), "q_metrics": _METRICS_SQL, "q_cites": _CITES_SQL + "SELECT doc_id, key FROM used", "q_cross_check": _CHECK_SQL, "q_title_similarity": _TITLE_SQL, "q_identifiers": _IDS_SQL, "q_bib_entries": _BIB_SQL, "q_duplicate_keys": "SELECT doc_id, 'k' || doc_id AS key, 2::BIGINT AS n FROM documents WHERE doc_id % 3 = 0", "q_pdf_lines": _PDF_SQL}
