@@ -24,6 +24,9 @@ PIECE_BYTES, WORD_BYTES, KNOWN_WORDS = 12, 40, 150_000
 #: Languages that are scored in one pass; more take further passes.
 LANGS_AT_ONCE = 32
 UNDETERMINED = "und"
+#: Share of words that are taken to come from no language in particular, so that a passage in another language, or a
+#: few words that a language hardly knows, cannot outweigh the rest of a text.
+ELSEWHERE = 0.1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SCALE = 1024.0  # per byte, against underflow
 
@@ -187,16 +190,20 @@ def predict(docs: DataFrame, model: DataFrame, path: str = VOCABULARY, text: str
 
     Only the text is looked at.  It is put in lower case and cut into runs of letters; what stands between is left
     out.  A null text, or one without letters, is ``und`` with score 0; so is every text if no language was learned.
-    Texts are scored whole.  Models come to each worker as piece probabilities, whose size is bounded by the fixed
+    Texts are scored whole: a word's probability is its language's, or with the chance ELSEWHERE that of all languages'
+    mean.  Models come to each worker as piece probabilities, whose size is bounded by the fixed
     vocabulary and LANGS_AT_ONCE; more languages are scored in further passes that carry the best so far.
     """
     langs = [r[0] for r in model.select("lang").orderBy("lang").collect()]
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(None).cast("string").alias("best"), F.lit(None).cast("double").alias("best_log"), F.lit(None).cast("double").alias("sum_log"))
     schema = out.schema
+    total = 0.0
+    for a in range(0, len(langs), LANGS_AT_ONCE):
+        total = total + sum(np.array(r[0]) for r in model.where(F.col("lang").isin(langs[a : a + LANGS_AT_ONCE])).select("prob").collect())
     for a in range(0, len(langs), LANGS_AT_ONCE):
         names = langs[a : a + LANGS_AT_ONCE]
         found = {r["lang"]: r["prob"] for r in model.where(F.col("lang").isin(names)).collect()}
-        shared = docs.sparkSession.sparkContext.broadcast((names, np.array([found[x] for x in names]).T.copy()))
+        shared = docs.sparkSession.sparkContext.broadcast((names, np.array([*(found[x] for x in names), total / len(langs)]).T.copy()))
         out = out.mapInArrow(functools.partial(_score, shared=shared, path=path, text=text), schema)
     score = F.when(F.col("best").isNotNull(), F.least(F.exp(F.col("best_log") - F.col("sum_log")), F.lit(1.0))).otherwise(0.0)
     return out.select("row", F.coalesce("best", F.lit(UNDETERMINED)).alias("lang_pred"), score.alias("score"))
@@ -233,7 +240,10 @@ def _score_some(batch, texts, v: Pieces, names: list, prob: np.ndarray):
     if len(row_of) + len(unique) > KNOWN_WORDS:
         row_of.clear()
     fresh = [w for w in unique if w not in row_of]
-    logs = forward(v, [spell(w) for w in fresh], prob) if fresh else np.zeros((0, len(names)))
+    logs = np.zeros((0, len(names)))
+    if fresh:
+        logs = forward(v, [spell(w) for w in fresh], prob)
+        logs = np.logaddexp(logs[:, :-1] + math.log(1 - ELSEWHERE), logs[:, -1:] + math.log(ELSEWHERE))
     if len(fresh) <= KNOWN_WORDS:
         table[len(row_of) : len(row_of) + len(fresh)] = logs
         row_of.update(zip(fresh, range(len(row_of), len(row_of) + len(fresh)), strict=True))
