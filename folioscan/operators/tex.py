@@ -35,3 +35,11 @@ def cross_check(used: DataFrame, defined: DataFrame) -> DataFrame:
     """key, state: ``missing`` for keys that are used but not defined, ``unused`` for those defined but not used."""
     u, d = used.select("key").distinct(), defined.select("key").distinct()
     return u.join(d, "key", "left_anti").withColumn("state", F.lit("missing")).unionByName(d.join(u, "key", "left_anti").withColumn("state", F.lit("unused")))
+
+
+def bib_resources(docs: DataFrame) -> DataFrame:
+    """doc_id, resource: bibliography files that sources (doc_id, text, filetype; only tex counts) name outside of comments, without their ``.bib``."""
+    found = F.regexp_extract_all("text", F.lit(r"(?<!\\)%[^\n]*|\\(?:bibliography|addbibresource)\s*(?:\[[^\]]*\])?\{[^}]*\}"), F.lit(0))
+    rows = docs.where("filetype = 'tex'").select("doc_id", F.explode(found).alias("m")).where(~F.col("m").startswith("%"))
+    names = F.transform(F.split(F.regexp_extract("m", r"\{([^}]*)\}$", 1), ","), lambda x: F.regexp_replace(F.trim(x), r"(?i)\.bib$", ""))
+    return rows.select("doc_id", F.explode(F.filter(names, lambda x: x != "")).alias("resource"))
