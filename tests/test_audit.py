@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from folioscan import linkage_queries as L
 from folioscan import queries as Q
 from folioscan.functions import text as X
 from folioscan.functions.regex_compat import anchors, to_java, to_python
@@ -125,7 +126,7 @@ def test_new_rules_can_be_registered(monkeypatch):
     S._compiled.cache_clear()
 
 
-@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+@pytest.mark.parametrize("name", sorted(Q.ORACLES | L.ORACLES))
 def test_queries_agree_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     at = "/root/testdata/sf0.001"
@@ -134,8 +135,8 @@ def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for p in Path(at).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
-    df = Q.QUERIES[name](spark, at)
-    sql = con.execute(Q.ORACLES[name])
+    df = (Q.QUERIES | L.QUERIES)[name](spark, at)
+    sql = con.execute((Q.ORACLES | L.ORACLES)[name])
     cols = [d[0] for d in sql.description]
     assert sorted(cols) == sorted(df.columns)
     rows = collections.Counter(sql.fetchall())
