@@ -88,7 +88,7 @@ def q_references(spark, sf_dir):
 
 _REFS_SQL = _W_SQL + ", r AS (" + " UNION ALL ".join(
     f"SELECT doc_id, {k} AS k, 'A. {n}. ' || trim(regexp_replace(regexp_replace(array_to_string(w[{1 + 5 * k}:{4 + 5 * k if k else 8}], ' '), '[^a-zA-Z ]', '', 'g'), ' +', ' ', 'g')) || '. Journal of Things, ' || (2001 + doc_id % 20) || '.' AS t FROM v" for k, n in enumerate(_NAMES)
-) + "), c AS (SELECT doc_id, k, regexp_replace(t, ' +', ' ', 'g') AS text FROM r) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT AS index, text FROM c WHERE length(text) BETWEEN 30 AND 1200"
+) + "), c AS (SELECT doc_id, k, regexp_replace(t, ' +', ' ', 'g') AS text FROM r) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT AS index, text FROM c WHERE length(text) BETWEEN 30 AND 1200 AND NOT contains(text, '. . Journal')"
 
 
 def q_reference_verdict(spark, sf_dir):
