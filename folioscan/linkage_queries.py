@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import citation_fixes as fixes
-from .operators import linkage, refs, tex
-from .sources import fixtures
+from .operators import linkage, refs, report, scan, tex
+from .sources import archives, fixtures
 
 _SPACES = r"[ \t-\r]+"
 
@@ -150,5 +150,27 @@ def q_fixed_cites(spark, sf_dir):
 _FIXED_CITES_SQL = f"WITH corpus AS ({fixtures.CORPUS_SQL}) " + r"""SELECT doc_id, md5(replace(replace(text, '\cite{smith2020, jones2021}', '\cite{jones2021}'), '\textcite{smith2020}', '')) AS fixed_md5,
  coalesce(contains(text, 'cite{smith2020')::BIGINT, 0) AS changes FROM corpus WHERE filetype = 'tex'"""
 
-QUERIES = {f.__name__: f for f in (q_entry_verdict, q_verdict_summary, q_id_links, q_references, q_reference_verdict, q_guess_title, q_bibitems, q_bib_resources, q_fixed_bib, q_fixed_cites)}
+def q_changes(spark, sf_dir):
+    """What mending the texts changes."""
+    return scan.changes(fixtures.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def q_full_report(spark, sf_dir):
+    """A report per document: its findings, the verdict on its entry, and citations that do not fit its bibliography."""
+    docs = fixtures.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("doc_id is not null")
+    files = docs.select("doc_id", F.concat("doc_id", F.lit("."), "filetype").alias("name"), F.col("filetype").alias("kind"), F.octet_length("text").cast("long").alias("size"))
+    e = entries(spark, sf_dir)
+    v = linkage.default_decisions(linkage.verify_entries(e, catalog(spark, sf_dir)).drop("title_similarity")).join(e.select("id", "title", F.concat(F.lit("k"), "id").alias("key")), "id").withColumn("doc_id", F.col("id"))
+    checks = tex.used_keys(tex.citations(docs)).where("key <> 'smith2020'").withColumn("state", F.lit("missing"))
+    return report.combined(files, scan.scan(docs), v, checks)
+
+
+def q_archives(spark, sf_dir):
+    """Archives of mended texts and their logs, by size."""
+    docs = fixtures.corpus(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("doc_id is not null")
+    texts = scan.fixed(docs).select("doc_id", F.lit("fixed.txt").alias("name"), F.col("fixed").alias("content"))
+    return archives.archives(texts).select("doc_id", F.octet_length("archive").cast("long").alias("bytes"), F.crc32("archive").alias("crc32"))
+
+
+QUERIES = {f.__name__: f for f in (q_entry_verdict, q_verdict_summary, q_id_links, q_references, q_reference_verdict, q_guess_title, q_bibitems, q_bib_resources, q_fixed_bib, q_fixed_cites, q_changes, q_full_report, q_archives)}
 ORACLES = {"q_id_links": _ID_LINKS_SQL, "q_references": _REFS_SQL, "q_bibitems": _ITEMS_SQL, "q_bib_resources": _RESOURCES_SQL, "q_fixed_bib": _FIXED_BIB_SQL, "q_fixed_cites": _FIXED_CITES_SQL}

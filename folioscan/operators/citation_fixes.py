@@ -10,22 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import rows_of
 from . import bib
-from .refs import squeeze
-from .scan import apply_edits
+from .scan import apply_edits, shown
 from .tex import CITE_COMMANDS
 
-#: Characters of a detail that a log shows, and the indent of fields where a source shows none.
-SHOWN, INDENT = 110, "  "
+#: Fixed value: the indent of fields where a source shows none.
+INDENT = "  "
 DECISION = "array<struct<key:string,action:string,reason:string,corrections:array<struct<field:string,current:string,correct:string>>>>"
 _CITE = re.compile(r"\\(" + "|".join(sorted(CITE_COMMANDS, key=len, reverse=True)) + r")s?\*?(?:\s*\[[^\]]*\]){0,2}\s*\{([^{}]*)\}", re.I)
 _CHANGES = ("changes", "array<struct<line:int,action:string,detail:string>>", pa.list_(pa.struct([("line", pa.int32()), ("action", pa.string()), ("detail", pa.string())])))
 
 
-def shown(s: str | None, n: int = SHOWN) -> str:
-    s = squeeze(s or "")
-    return s[: n - 1] + "…" if len(s) > n else s
-
-
 def _change(line: int, action: str, detail: str) -> dict:
     return {"line": line, "action": action, "detail": detail}
 

@@ -9,6 +9,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.arrow import rows_of
 from ..functions.regex_compat import SPACE_CODES, anchors, to_python
 from . import rules as R
 
@@ -22,6 +23,8 @@ _TYPES = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 MANY_WORDS, EM_DASHES, SEMICOLONS, FEWEST_SEMICOLONS = 200, 6, 20, 8
 FEWEST_SENTENCES, FEWEST_TRANSITIONS, TRANSITION_SHARE, SENTENCE_CHARS, STYLE_PHRASES = 8, 3, 0.18, 20, 5
 DOCUMENT_CONTEXT = "(document-level metric)"
+#: What a log calls each fix, and the characters of a detail that it shows.
+LOGGED, SHOWN = {R.REMOVE_SENTENCE: "removed sentence", R.REMOVE_MATCH: "removed", R.CONVERT: "converted"}, 110
 
 
 @functools.cache
@@ -211,6 +214,12 @@ def findings(text: str, filetype: str) -> list[dict]:
     return sorted(out, key=lambda f: f["start"])
 
 
+def shown(s: str | None, n: int = SHOWN) -> str:
+    """White space as single blanks, cut to ``n`` characters with an ellipsis."""
+    s = re.sub(r"\s+", " ", s or "").strip()
+    return s[: n - 1] + "…" if len(s) > n else s
+
+
 def collapse_blank(text: str) -> str:
     """Three or more line breaks become two, then blanks before a line break go."""
     return re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", text))
@@ -255,13 +264,13 @@ def _comment(text: str, at: int) -> tuple[int, int]:
     return (begin, min(stop + 1, len(text))) if sign == begin else (sign, stop)
 
 
-def fix(text: str, filetype: str) -> str:
-    """The text with all selected findings mended: sentences or matches removed, or matches converted."""
-    edits = []
+def mend(text: str, filetype: str) -> tuple[str, list[dict]]:
+    """The text with all selected findings mended, and a log: sentences or matches removed, or matches converted."""
+    edits, log = [], []
     for f in findings(text, filetype):
         if not f["selected"]:
             continue
-        start, end = f["start"], f["end"]
+        start, end, what = f["start"], f["end"], f["match"]
         if f["fix"] == R.CONVERT:
             edits.append((start, end, f["converted"]))
         elif f["fix"] == R.REMOVE_MATCH:
@@ -271,11 +280,18 @@ def fix(text: str, filetype: str) -> str:
             elif text[start - 1 : start] == " " and (not after or after in SPACE or after in ".,;)"):
                 start -= 1
             edits.append((start, end, ""))
-        elif f["in_comment"]:
-            edits.append((*_comment(text, start), ""))
         else:
-            edits.append((f["sentence_start"], f["sentence_end"], ""))
-    return collapse_blank(apply_edits(text, edits))
+            span = _comment(text, start) if f["in_comment"] else (f["sentence_start"], f["sentence_end"])
+            edits.append((*span, ""))
+            what = text[slice(*span)]
+        becomes = "" if f["converted"] is None else f" → {shown(f['converted'])}"
+        log.append({"line": f["line"], "action": LOGGED[f["fix"]], "detail": f"{f['rule_id']}: {shown(what)}{becomes}"})
+    return collapse_blank(apply_edits(text, edits)), log
+
+
+def fix(text: str, filetype: str) -> str:
+    """The text with all selected findings mended."""
+    return mend(text, filetype)[0]
 
 
 def fixed(docs: DataFrame) -> DataFrame:
@@ -287,3 +303,9 @@ def fixed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["doc_id", "fixed"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text", "filetype").mapInArrow(run, "doc_id long, fixed string")
+
+
+def changes(docs: DataFrame) -> DataFrame:
+    """doc_id, line, action, detail: a row per change that mending makes."""
+    log = lambda text, filetype: [(c["line"], c["action"], c["detail"]) for c in mend(text, filetype)[1]]
+    return rows_of(docs, ["text", "filetype"], log, [("line", "int", pa.int32()), ("action", "string", pa.string()), ("detail", "string", pa.string())])
