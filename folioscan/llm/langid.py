@@ -21,6 +21,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FIT_DOCS = 3000
 #: Bytes of the longest piece; bytes of words that are scored many at a time; words a worker remembers.
 PIECE_BYTES, WORD_BYTES, KNOWN_WORDS = 12, 40, 150_000
+#: Words whose sums are taken together, and characters of texts: a worker keeps the memory of its largest batch.
+WORDS_AT_ONCE, CHARS_AT_ONCE = 4_000, 600_000
 #: Languages that are scored in one pass; more take further passes.
 LANGS_AT_ONCE = 32
 UNDETERMINED = "und"
@@ -111,8 +113,8 @@ def forward(v: Pieces, words: list[bytes], prob: np.ndarray) -> np.ndarray:
             for k in ks:
                 out[k] = _forward_long(v, words[k], prob)
             continue
-        for a in range(0, len(ks), 20_000):
-            some = ks[a : a + 20_000]
+        for a in range(0, len(ks), WORDS_AT_ONCE):
+            some = ks[a : a + WORDS_AT_ONCE]
             alpha = np.zeros((n + 1, len(some), prob.shape[1]))
             alpha[0] = 1.0
             for i, j, rows, p in v.grid([words[k] for k in some]):
@@ -146,8 +148,8 @@ def fit(v: Pieces, counts: Counter, rounds: int = 3, floor: float = 0.01) -> np.
     for _ in range(rounds):
         expected = np.full(v.n, floor)
         for n, every in by.items():
-            for a in range(0, len(every), 20_000):
-                words = every[a : a + 20_000]
+            for a in range(0, len(every), WORDS_AT_ONCE):
+                words = every[a : a + WORDS_AT_ONCE]
                 times = np.array([counts[w] for w in words], float)
                 spans = list(v.grid(words))
                 alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
@@ -220,13 +222,14 @@ def _score(batches, shared, path: str, text: str):
     for batch in batches:
         texts = batch.column(0).field(text)
         at, n = 0, batch.num_rows
-        while at < n:  # some million characters at a time
+        while at < n:
             end, size = at, 0
-            while end < n and (end == at or size < 1_500_000):
+            while end < n and (end == at or size < CHARS_AT_ONCE):
                 size += len(texts[end].as_py() or "")
                 end += 1
             yield _score_some(batch.slice(at, end - at), texts.slice(at, end - at), v, names, prob)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def _score_some(batch, texts, v: Pieces, names: list, prob: np.ndarray):
