@@ -1,16 +1,22 @@
-"""Line deduplication: equal lines by hash, lines one edit apart by their deletion neighbourhoods."""
+"""Line deduplication: equal lines by hash, lines a few edits apart by the segments that edits leave alone."""
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_saved, mix64, save
+from .common import drop_saved, hash_words, mix64, save
 
 #: Lines of fewer characters are compared for equality only: one edit makes another word of a short line.
 NEAR_CHARS = 20
+#: Insertions, deletions and substitutions that make near lines of each other.
+EDITS = 2
+#: Lines that share a key and meet in one group; more are dealt to blocks of about so many.
+BLOCK = 512
 _B = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_B, -1, 1 << 64))
 _TAG = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -20,20 +26,40 @@ def _stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """Keys that two lines within one edit share at least one of: a half that the edit left alone.
+def _segment_keys(line: Column, n: Column, edits: int) -> Column:
+    """Keys that two lines within ``edits`` edits share at least one of: a segment that the edits left alone.
 
-    With m the shorter line's length, the edit falls behind the first m div 2 characters or before the last ones.
-    Either line may be the shorter, so both m = n and m = n - 1 are tried.
+    The shorter line has edits + 1 segments, so one is untouched; in the longer line it is shifted by what was put in
+    before it.  Some untouched segment i has at most i edits before it and edits - i behind it, which bounds the shift.
+    Either line may be the shorter, so all lengths down to n - edits are tried.
     """
     keys = []
-    for less in (0, 1):
+    for less in range(edits + 1):
         m = n - less
-        h = F.floor(m / 2).cast("int")
-        keys += [F.xxhash64(m, F.lit(0), F.left(line, h)), F.xxhash64(m, F.lit(1), F.right(line, m - h))]
+        cut = [F.floor(m * i / (edits + 1)).cast("int") for i in range(edits + 2)]
+        for i in range(edits + 1):
+            keys += [F.xxhash64(m, F.lit(i), line.substr(cut[i] + (1 + by), cut[i + 1] - cut[i])) for by in range(-i, i + 1) if abs(less - by) <= edits - i]
     return F.array(*keys)
 
 
+def pair_keys(line: str, edits: int) -> list[bytes]:
+    """Keys of two segments each, such that two lines within ``edits`` edits share at least one.
+
+    As :func:`_segment_keys` with edits + 2 segments, of which two are untouched: half of the text for two edits.
+    """
+    n, keys, end = len(line), set(), edits + 1
+    for less in range(edits + 1):
+        m = n - less
+        cut = [m * i // (edits + 2) for i in range(edits + 3)]
+        for i, j in itertools.combinations(range(edits + 2), 2):
+            for x in (0,) if i == 0 else range(-edits, edits + 1):
+                for y in (x,) if j == i + 1 else (less,) if j == end else range(-edits, edits + 1):
+                    if abs(x) + abs(y - x) + abs(less - y) <= edits and (j != end or y == less):
+                        first, second = (line[max(0, cut[k] + by) : max(0, cut[k + 1] + by)] for k, by in ((i, x), (j, y)))
+                        keys.add(f"{m} {i} {j} {first}{second}".encode("utf-8", "surrogatepass"))
+    return list(keys)
+
+
 def _powers(n: int) -> np.ndarray:
     p = np.full(n + 1, _B, np.uint64)
     p[0] = 1
@@ -65,32 +91,86 @@ def within_one(a: str, b: str) -> bool:
     return a[k:] == b[k + 1 :] or (len(a) == len(b) and a[k + 1 :] == b[k + 1 :])
 
 
-def _variants(texts: DataFrame) -> DataFrame:
-    """(key, kind, id, first): kind 0 own text, 1 one character less, 2 that together with its place."""
-    schema = "key long, kind tinyint, id long, at long, line_no int"
+def _agreed(a: str, b: str) -> int:
+    """Length of the common prefix, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def edits_apart(a: str, b: str, most: int) -> int:
+    """Least number of insertions, deletions and substitutions that make one text of the other; most + 1 if it is over ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    k = _agreed(a, b)
+    a, b = a[k:], b[k:]
+    if not a or not b:
+        return len(a) + len(b)
+    if not most:
+        return 1
+    found = most
+    for x, y in ((a[1:], b[1:]), (a[1:], b), (a, b[1:])):
+        found = min(found, edits_apart(x, y, found - 1) if found else 0)
+    return found + 1
+
+
+def _pair_keys(texts: DataFrame, edits: int) -> DataFrame:
+    """(key, id, doc_id, line_no): a row per key of :func:`pair_keys`."""
 
     def run(batches):
         for batch in batches:
-            keys, kinds, which = [], [], []
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for k, (_, line, front, back, _, _) in enumerate(rows):
-                n = len(line)
-                own, at, less = deletions(line, 0 if back else (n - 1) // 2, n if front else n // 2 + 1)
-                keys += [np.array([own]), np.unique(less), at]
-                kinds += [np.repeat(np.int8([0, 1, 2]), [1, len(keys[-2]), len(at)])]
-                which.append(np.full(len(kinds[-1]), k))
-                if sum(map(len, which[-50:])) > 500_000 or len(which) >= 2000:
-                    yield batch_of(rows, keys, kinds, which)
-                    keys, kinds, which = [], [], []
-            if which:
-                yield batch_of(rows, keys, kinds, which)
-
-    def batch_of(rows, keys, kinds, which):
-        w = np.concatenate(which)
-        ids, at, no = (np.array([r[c] for r in rows], t)[w] for c, t in ((0, np.int64), (4, np.int64), (5, np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds)), pa.array(ids), pa.array(at), pa.array(no)], names=["key", "kind", "id", "at", "line_no"])
-
-    return texts.select("id", "line", "front", "back", "first.doc_id", "first.line_no").mapInArrow(run, schema)
+            for a in range(0, len(rows), 2000):
+                some = rows[a : a + 2000]
+                keys = [pair_keys(r[1], edits) for r in some]
+                w = np.repeat(np.arange(len(some)), [len(k) for k in keys])
+                ids, docs, nos = (np.array([r[c] for r in some], t)[w] for c, t in ((0, np.int64), (2, np.int64), (3, np.int32)))
+                hashed = hash_words([k for ks in keys for k in ks]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashed, ids, docs, nos)], names=["key", "id", "doc_id", "line_no"])
+
+    return texts.select("id", "line", "first.doc_id", "first.line_no").mapInArrow(run, "key long, id long, doc_id long, line_no int")
+
+
+def _near(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(id, doc_id, line_no, other, distance): in every group, or block of one, the earliest line near to each line.
+
+    members: key, id, doc_id, line_no, n (members of the key).  Groups come in order, one after the other.  Lines are
+    looked through from the earliest on up to the first near one, so of many true copies few are compared, and no pairs
+    are listed.  Each block of a large group meets each other one (role 0: looked through, 1: looks, 2: both).
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    spot, every = F.pmod(F.xxhash64("id"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
+    deal = lambda role, f: F.transform(every, lambda k: F.struct(F.lit(role).alias("role"), *f(k)))
+    ours = deal(1, lambda k: (spot.alias("i"), k.alias("j")))
+    theirs = deal(0, lambda k: (k.alias("i"), spot.alias("j")))
+    alone = F.array(F.struct(F.lit(2).alias("role"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    rows = members.join(texts.select("id", "line"), "id").select("key", "id", "doc_id", "line_no", "line", F.inline(F.when(parts == 1, alone).otherwise(F.concat(ours, theirs))))
+    order = ["key", "i", "j"]
+    rows = rows.repartition(*order).sortWithinPartitions(*order, "doc_id", "line_no", "id", "role")
+    rows = rows.select(*order, "doc_id", "line_no", "id", "line", "role")
+
+    def run(batches):
+        group, held = None, []
+        for batch in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != group:
+                    group, held = r[:3], []
+                at, line, role = r[3:6], r[6], r[7]
+                if role:
+                    for place, other in held:
+                        if place != at and (far := edits_apart(other, line, edits)) <= edits:
+                            out.append((at[2], *place, far))
+                            break
+                if role != 1:
+                    held.append((at, line))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "doc_id", "line_no", "other", "distance"])
+
+    return rows.mapInArrow(run, "id long, doc_id long, line_no int, other long, distance int")
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -99,72 +179,53 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.withColumn("line", _stripped(F.col("line"))).where("line <> '' and doc_id is not null")
 
 
-def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
     """A row per line with a word: doc_id, line_no, kept, first_doc_id, first_line_no, distance.
 
     Lines are compared without the blanks around them.  A line goes if an equal line is earlier (distance 0), or, from
-    ``near_chars`` characters on, if an earlier line is within one insertion, deletion or substitution (distance 1);
-    first_doc_id and first_line_no name that line, or the line itself if it stays.  Earlier means a smaller doc_id,
-    then a smaller line number.  Rows of one doc_id are one document; rows without a doc_id or text have no lines.
-
-    Equal lines become one.  Of the rest, those that share no half with any other line of fitting length can have no
-    partner within one edit and emit nothing; the others emit the hashes of all their one-character deletions (in the
-    half that may differ).  Equal keys are joined: of lines that lose the same character place all are within one
-    edit of each other, so each meets the earliest only, and no pairs are listed.  What a key says is then verified
-    on the texts.
+    ``near_chars`` characters on, if an earlier line is within ``edits`` insertions, deletions and substitutions (their
+    number is the distance); first_doc_id and first_line_no name the earliest such line, or the line itself if it
+    stays.  Earlier means a smaller doc_id, then a smaller line number.  Rows of one doc_id are one document; rows
+    without a doc_id or text have no lines.
+
+    Equal lines become one.  Of the rest, those that share no segment with any other line of fitting length can have
+    no partner and go no further; the others are grouped by pairs of segments, which hold half of the text.  Within
+    a group each line looks for the earliest near one on the texts; large groups are dealt to blocks.
     """
     lines = line_table(docs)
     n = F.char_length("line")
-    lines = lines.select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.when(n >= near_chars, _halves(F.col("line"), n)).alias("halves"))
+    lines = lines.select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.when(n >= near_chars, _segment_keys(F.col("line"), n, edits)).alias("segments"))
     lines = save(lines, "lines")
-    unique = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves"))
+    unique = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"), F.first("segments").alias("segments"))
     unique = save(unique, "lines-unique")
-    halves = unique.where("halves is not null").select("id", "first", F.posexplode("halves").alias("which", "key"))
-    common = save(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "lines-common")
-    survivors = halves.join(common, "key").groupBy("id").agg(F.max(F.pmod("which", F.lit(2)) == 0).alias("front"), F.max(F.pmod("which", F.lit(2)) == 1).alias("back"), F.first("first").alias("first"))
+    segments = unique.where("segments is not null").select("id", F.explode(F.array_distinct("segments")).alias("key"))
+    common = segments.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("id").distinct()
+    survivors = unique.select("id", "first").join(save(common, "lines-common"), "id")
     survivors = save(survivors, "lines-survivors")
     holders = save(survivors.select("first.doc_id").distinct(), "lines-holders")
     texts = line_table(docs.select("doc_id", "text").join(holders, "doc_id", "left_semi"))
-    at_first = survivors.select("id", "front", "back", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    texts = save(texts.join(at_first, ["doc_id", "line_no"]).where(F.xxhash64("line") == F.col("id")).select("id", "line", "front", "back", "first").dropDuplicates(["id"]), "lines-texts")
-    variants = save(_variants(texts), "lines-variants")
-
-    place = F.struct(F.col("at").alias("doc_id"), "line_no", "id")
-    drop_saved(common, holders, survivors)
-    meet = variants.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("kind") == 0, place)).alias("own"), F.min(F.when(F.col("kind") != 0, place)).alias("other")).where("n > 1").select("key", "own", "other")
-    meet = save(meet, "lines-met")
-    met = variants.join(meet, "key")
-    earlier = F.when(F.col("kind") == 0, F.col("other")).when(F.col("kind") == 1, F.col("own")).otherwise(F.col("other"))
-    candidates = met.select("id", place.alias("self"), earlier.alias("e")).where("e.id <> id and e < self").groupBy("id").agg(F.collect_set("e").alias("es"))
-    candidates = save(candidates.select("id", F.explode("es").alias("e")).select("id", "e", F.col("e.id").alias("other")), "lines-candidates")
-    drop_saved(variants, meet)
-    a, b = texts.select("id", F.col("line").alias("a")), texts.select(F.col("id").alias("other"), F.col("line").alias("b"))
-    pairs = candidates.join(a, "id").join(b, "other")
-    near = pairs.where(_one_edit(F.col("a"), F.col("b"))).groupBy("id").agg(F.min("e").alias("e")).select("id", F.col("e.doc_id").alias("near_doc"), F.col("e.line_no").alias("near_line"))
+    at_first = survivors.select("id", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    texts = save(texts.join(at_first, ["doc_id", "line_no"]).where(F.xxhash64("line") == F.col("id")).select("id", "line", "first").dropDuplicates(["id"]), "lines-texts")
+    keys = save(_pair_keys(texts, edits), "lines-keys")
+    drop_saved(holders, survivors)
+
+    shared = save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lines-shared")
+    members = save(keys.join(shared, "key"), "lines-members")
+    drop_saved(keys, shared)
+    near = _near(members, texts, edits).groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "other", "distance")).alias("m"))
+    near = near.select("id", F.col("m.doc_id").alias("near_doc"), F.col("m.line_no").alias("near_line"), F.col("m.distance").alias("far"))
     near = save(near, "lines-near")
 
     verdicts = unique.where("times > 1").select("id", "first").join(near, "id", "full")
     verdicts = save(verdicts, "lines-verdicts")
-    drop_saved(unique, texts, candidates, near)
+    drop_saved(unique, texts, members, near)
     out = lines.select("doc_id", "line_no", "id").join(verdicts, "id", "left")
     itself = F.struct("doc_id", "line_no")
     first = F.coalesce("first", itself)
     equal = F.coalesce(itself > F.col("first"), F.lit(False))
     is_near = F.col("near_doc").isNotNull()
     to = F.when(equal, first).when(is_near, F.struct(F.col("near_doc").alias("doc_id"), F.col("near_line").alias("line_no"))).otherwise(itself)
-    return out.select("doc_id", "line_no", (~equal & ~is_near).alias("kept"), to["doc_id"].alias("first_doc_id"), to["line_no"].alias("first_line_no"), F.when(equal, 0).when(is_near, 1).cast("int").alias("distance"))
-
-
-def _one_edit(a: Column, b: Column) -> Column:
-    """Whether two different texts are one edit apart; equal halves are skipped, so long lines cost a few comparisons."""
-
-    @F.pandas_udf("boolean")
-    def test(x, y):
-        import pandas as pd
-
-        return pd.Series([within_one(p, q) for p, q in zip(x, y, strict=True)])
-
-    return test(a, b)
+    return out.select("doc_id", "line_no", (~equal & ~is_near).alias("kept"), to["doc_id"].alias("first_doc_id"), to["line_no"].alias("first_line_no"), F.when(equal, 0).when(is_near, F.col("far")).cast("int").alias("distance"))
 
 
 def without_duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:

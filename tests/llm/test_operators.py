@@ -128,6 +128,48 @@ def test_one_edit():
             assert meet == lines.within_one(a, b)
 
 
+def distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        e = [i + 1]
+        for j, y in enumerate(b):
+            e.append(min(d[j] + (x != y), d[j + 1] + 1, e[j] + 1))
+        d = e
+    return d[-1]
+
+
+def test_edits_apart():
+    rnd = random.Random(2)
+    for _ in range(3000):
+        a, b = ("".join(rnd.choices("ab", k=rnd.randint(0, 8))) for _ in range(2))
+        for most in (0, 1, 2, 3):
+            assert lines.edits_apart(a, b, most) == min(distance(a, b), most + 1)
+            if len(a) > 5 and len(b) > 5 and distance(a, b) <= most:
+                assert set(lines.pair_keys(a, most)) & set(lines.pair_keys(b, most))
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_lines_two_edits_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rnd = random.Random(9)
+    bases = ["".join(rnd.choices("abc ", k=n)).strip().ljust(n, "x") for n in (19, 20, 22, 23, 24, 41, 80, 200)]
+    some = []
+    for k in range(240):
+        w = list(bases[k % 8])
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = rnd.choice(["", "y", "z"])
+        some.append("".join(w).strip())
+    got = {r.doc_id: r for r in lines.duplicate_lines(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()}
+    seen = set()
+    for i, x in enumerate(some):
+        near = [(j, distance(some[j], x)) for j in range(i) if some[j] not in some[:j] and len(x) >= 20 and len(some[j]) >= 20]
+        found = (some.index(x), 0) if x in some[:i] else next((p for p in near if p[1] <= 2), (i, None))
+        assert (got[i].first_doc_id, got[i].distance, got[i].kept) == (*found, found[1] is None)
+        seen.add(found[1])
+    assert seen == {0, 1, 2, None}
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(3, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality(docs, labels).collect()
