@@ -202,9 +202,9 @@ def q_duplicate_keys(spark, sf_dir):
 
 
 def q_pdf_lines(spark, sf_dir):
-    """Pages put together from the words of documents, laid out in lines of seven, three to a page."""
+    """Pages put together from all words of documents, laid out in lines of seven, three to a page."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
-    words = docs.select("doc_id", F.posexplode(F.slice(F.split("text", r"[ \t-\r]+"), 1, 60)).alias("seq", "str"))
+    words = docs.select("doc_id", F.posexplode(F.split("text", r"[ \t-\r]+")).alias("seq", "str"))
     k = F.col("seq") % 21
     items = words.select("doc_id", F.floor(F.col("seq") / 21 + 1).alias("page"), "seq", "str", ((k % 7) * 10.0 + (F.col("seq") % 2)).alias("x"), (F.floor(k / 7) * 12.0).alias("y"), F.lit(9.5).alias("width"))
     return pdf.page_texts(items)

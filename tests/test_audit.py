@@ -149,3 +149,10 @@ def test_entry_without_the_corpus_operators():
 
     code = "import sys; sys.modules['folioscan.llm'] = None; import __spark_entry__ as e; assert 'q_findings' in e.queries() and not [q for q in e.queries() if q.startswith('op')] and e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1]).returncode == 0
+
+
+def test_pdf_lines_cover_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(200))), (2, "one two"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.page): r.text for r in Q.q_pdf_lines(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [(1, k) for k in range(1, 11)] + [(2, 1)]
+    assert "".join("".join(got[1, k].split()) for k in range(1, 11)) == "".join(f"w{k}" for k in range(200)) and got[2, 1].split() in (["one", "two"], ["onetwo"])
