@@ -1,6 +1,7 @@
 """Rules, guards, edits, citations and functions on small cases; every query with SQL against DuckDB."""
 
 import collections
+import re
 from pathlib import Path
 
 import pytest
@@ -156,3 +157,14 @@ def test_pdf_lines_cover_whole_texts(spark, tmp_path):
     got = {(r.doc_id, r.page): r.text for r in Q.q_pdf_lines(spark, str(tmp_path)).collect()}
     assert sorted(got) == [(1, k) for k in range(1, 11)] + [(2, 1)]
     assert "".join("".join(got[1, k].split()) for k in range(1, 11)) == "".join(f"w{k}" for k in range(200)) and got[2, 1].split() in (["one", "two"], ["onetwo"])
+
+
+def test_rule_hits_have_every_rule(spark, tmp_path):
+    spark.createDataFrame([(1, "You are absolutely right."), (2, "You are right-handed")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.rule_id: r for r in Q.q_rule_hits(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(r.id for r in RULES)
+    texts = [r for r in Q.corpus(spark, str(tmp_path)).collect()]
+    for rule in RULES:
+        n = [len(re.findall(to_python(rule.pattern, rule.flags), r.text)) if r.filetype == "tex" or not rule.tex_only else 0 for r in texts]
+        assert (got[rule.id].docs, got[rule.id].hits) == (sum(x > 0 for x in n), sum(n)), rule.id
+    assert got["youre-right"].hits >= 1
