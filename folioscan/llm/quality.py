@@ -87,29 +87,33 @@ def choose(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float, lift:
     """The strictest cutoff whose rejected part of good documents is below ``alpha`` with error ``delta``; else BINS - 1.
 
     good, bad: documents per bin.  A cutoff that rejects bad documents less than ``lift`` times as often as good ones
-    says nothing about quality and is passed over.
+    says nothing about quality and is passed over.  Cutoffs are tested from the loosest on up to the first that fails,
+    an order fixed before the labels are seen, so each may use the whole of ``delta``.
     """
-    n, m = int(good.sum()), int(bad.sum())
-    for c in range(BINS - 1):
+    n, m, best = int(good.sum()), int(bad.sum()), BINS - 1
+    for c in range(BINS - 2, -1, -1):
         k, j = int(good[c + 1 :].sum()), int(bad[c + 1 :].sum())
-        if k <= alpha * n and j and j / m >= lift * k / max(n, 1) and n and binomial_tail(k, n, alpha) <= delta:
-            return c
-    return BINS - 1
+        if not n or k > alpha * n or binomial_tail(k, n, alpha) > delta:
+            break
+        if j and j / m >= lift * k / n:
+            best = c
+    return best
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05, lift: float = 3.0) -> DataFrame:
     """stratum, cuts (one bin per signal), good and bad documents seen: from :func:`features` and labels (doc_id, quality).
 
     Each signal may falsely reject alpha / number of signals of a stratum's good documents, so all of them together
-    reject at most alpha; each of the tests (strata times signals times cutoffs) gets delta / their number, so with
-    probability 1 - delta all bounds hold.  Labelled documents are summed per stratum, signal and bin, whose number
+    reject at most alpha; each sequence of tests (strata times signals) gets delta / their number, so with probability
+    1 - delta all bounds hold.  With s strata, one of fewer than ln(delta / 7s) / ln(1 - alpha / 7) good labels gets
+    no cutoff: 1474 for 4 strata.  Labelled documents are summed per stratum, signal and bin, whose number
     does not grow with the documents.  Documents with several labels count as bad if one says so; null labels are
     left out; a stratum without labels gets no cutoffs, and its documents stay.
     """
     truth = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = rows.where("not base_failed").join(truth, "doc_id").select("stratum", "quality", F.posexplode("bins").alias("signal", "bin"))
     counts = save(held.groupBy("stratum", "signal", "bin").agg(F.sum((F.col("quality") > 0).cast("long")).alias("good"), F.sum((F.col("quality") <= 0).cast("long")).alias("bad")), "quality-counts")
-    tests = max(1, counts.select("stratum").distinct().count()) * len(SIGNALS) * (BINS - 1)
+    tests = max(1, counts.select("stratum").distinct().count()) * len(SIGNALS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cuts, seen = [], (0, 0)

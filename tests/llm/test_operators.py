@@ -210,6 +210,16 @@ def test_quality_holds_its_bound():
     assert broken <= 20
 
 
+def test_quality_gives_moderate_strata_cutoffs(spark):
+    bins = lambda x: [x] + [0] * (len(quality.SIGNALS) - 1)
+    data = [(i, f"={i % 4}", False, bins(60 if i >= 6400 else 5)) for i in range(6800)]
+    labels = spark.createDataFrame([(i, int(i < 6400)) for i in range(6800)], "doc_id long, quality int")
+    got = quality.cutoffs(spark.createDataFrame(data, "doc_id long, stratum string, base_failed boolean, bins array<int>"), labels).collect()
+    assert len(got) == 4 and all((r.good, r.bad, r.cuts[0]) == (1600, 100, 5) for r in got)
+    least = next(n for n in range(1, 5000) if quality.binomial_tail(0, n, 0.03 / 7) <= 0.05 / 28)
+    assert least == 1474
+
+
 def test_bpe(spark, docs, none):
     from tokenizers import Tokenizer
 
