@@ -1,94 +1,101 @@
-"""Line deduplication: equal lines by hash, lines a few edits apart by the segments that edits leave alone."""
+"""Line deduplication: equal lines by hash, lines a few edits apart by a join of deletion neighbourhoods."""
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, hash_words, mix64, save
-
-#: Lines of fewer characters are compared for equality only: one edit makes another word of a short line.
-NEAR_CHARS = 20
-#: Insertions, deletions and substitutions that make near lines of each other.
-EDITS = 2
-#: Lines that share a key and meet in one group; more are dealt to blocks of about so many.
-BLOCK = 512
-_B = 0x9E3779B97F4A7C15
-_INVERSE = np.uint64(pow(_B, -1, 1 << 64))
-_TAG = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+from .common import drop_saved, hash_words, save
 
+#: Insertions, deletions and substitutions that make near lines of each other, at most (1 or 2); and the characters of
+#: the shorter line that each edit needs, so that the bound grows with the line and no line becomes another word.
+EDITS, CHARS_PER_EDIT = 2, 10
+#: Characters of the windows whose deletion neighbourhoods are joined.
+WINDOW = 16
+#: Lines that share a key and meet in one group, and their characters; more are dealt to blocks of about so many.
+BLOCK, BLOCK_CHARS = 512, 16 << 20
+BLANKS = " \t\n\x0b\x0c\r"
 
-def _stripped(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
+def bound(chars: int, edits: int = EDITS) -> int:
+    """Edits that a line of ``chars`` characters may be from a longer one to count as near."""
+    return min(edits, chars // CHARS_PER_EDIT)
 
-def _segment_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys that two lines within ``edits`` edits share at least one of: a segment that the edits left alone.
 
-    The shorter line has edits + 1 segments, so one is untouched; in the longer line it is shifted by what was put in
-    before it.  Some untouched segment i has at most i edits before it and edits - i behind it, which bounds the shift.
-    Either line may be the shorter, so all lengths down to n - edits are tried.
-    """
-    keys = []
-    for less in range(edits + 1):
-        m = n - less
-        cut = [F.floor(m * i / (edits + 1)).cast("int") for i in range(edits + 2)]
-        for i in range(edits + 1):
-            keys += [F.xxhash64(m, F.lit(i), line.substr(cut[i] + (1 + by), cut[i + 1] - cut[i])) for by in range(-i, i + 1) if abs(less - by) <= edits - i]
-    return F.array(*keys)
+def _cut(q: int) -> int:
+    """``q`` with all but its three leading binary digits zero: a length that neighbouring lengths share."""
+    step = 1 << max(0, q.bit_length() - 3)
+    return q // step * step
 
 
-def pair_keys(line: str, edits: int) -> list[bytes]:
-    """Keys of two segments each, such that two lines within ``edits`` edits share at least one.
+def pieces(n: int, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
+    """(kind, base, start, size) of the pieces that a line of ``n`` characters is looked up by.
 
-    As :func:`_segment_keys` with edits + 2 segments, of which two are untouched: half of the text for two edits.
+    Two near lines share a piece's kind, base and text.  The shorter line (of m characters) in thirds for two edits, in
+    halves for one: some part is untouched.  If it is the first (kinds 0, 3) or the last (2, 4), both lines share what
+    stands at that end.  If it is the middle one alone (1), one edit is before it and moves it by one at most, so one
+    line has the piece at ``base`` and the other there or one further on.  Either line may be the shorter, so every m
+    from n - edits on counts; sizes and places are rounded, so that most m give the same pieces.
     """
-    n, keys, end = len(line), set(), edits + 1
-    for less in range(edits + 1):
-        m = n - less
-        cut = [m * i // (edits + 2) for i in range(edits + 3)]
-        for i, j in itertools.combinations(range(edits + 2), 2):
-            for x in (0,) if i == 0 else range(-edits, edits + 1):
-                for y in (x,) if j == i + 1 else (less,) if j == end else range(-edits, edits + 1):
-                    if abs(x) + abs(y - x) + abs(less - y) <= edits and (j != end or y == less):
-                        first, second = (line[max(0, cut[k] + by) : max(0, cut[k + 1] + by)] for k, by in ((i, x), (j, y)))
-                        keys.add(f"{m} {i} {j} {first}{second}".encode("utf-8", "surrogatepass"))
-    return list(keys)
-
-
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n + 1, _B, np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
-
-
-def deletions(line: str, lo: int, hi: int):
-    """Keys of a line's deletion neighbourhood: of the line itself, and of the line without character i for i in lo..hi.
-
-    A key pair for each i: of what is left together with i (shared by lines that differ in character i), and of what
-    is left alone (which a line of that text has as its own key).  All hashes of one line come from running sums.
+    out = []
+    for m in range(n, n - edits - 1, -1):
+        k = bound(m, edits)
+        if m <= 0 or n - m > k or not k:
+            continue
+        if k == 1:
+            g = _cut(m // 2)
+            out += [(3, 0, 0, g), (4, 0, n - g, g)]
+            continue
+        q = m // 3
+        step, g = 1 << max(0, q.bit_length() - 3), _cut(q)
+        base = (q // step + 1) * step
+        size = (2 * q - 1 - base) // step * step
+        out += [(0, 0, 0, g), (1, base, base, size), (1, base, base + 1, size), (2, 0, n - g, g)]
+    return list(dict.fromkeys(out))
+
+
+def _pieces_of(n: Column, edits: int) -> Column:
+    """:func:`pieces` of a column, as an array of structs: a table for short lines, its rule for the others."""
+    parts, least = edits + 1, edits * (CHARS_PER_EDIT + 1)
+    made = lambda *c: F.struct(*[x.cast("int").alias(name) for x, name in zip(c, ("kind", "base", "start", "size"), strict=True)])
+    table = F.array(*[F.array(*[made(*map(F.lit, p)) for p in pieces(i, edits)]) if pieces(i, edits) else F.array().cast("array<struct<kind:int,base:int,start:int,size:int>>") for i in range(least)])
+    long = []
+    for less in range(parts):
+        q = F.floor((n - less) / parts).cast("int")
+        step = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.length(F.bin(q)) - 3))
+        g = (q - q % step).cast("int")
+        if edits == 1:
+            long += [made(F.lit(3), F.lit(0), F.lit(0), g), made(F.lit(4), F.lit(0), n - g, g)]
+            continue
+        base = q - q % step + step
+        size = (2 * q - 1 - base) - (2 * q - 1 - base) % step
+        long += [made(F.lit(0), F.lit(0), F.lit(0), g), made(F.lit(1), base, base, size), made(F.lit(1), base, base + 1, size), made(F.lit(2), F.lit(0), n - g, g)]
+    return F.when(n >= least, F.array_distinct(F.array(*long))).otherwise(F.get(table, n))
+
+
+def windows(line: str, kind: int, base: int, start: int, size: int) -> list[tuple[int, str]]:
+    """(side, characters): where near lines that share a piece have at most one edit left, in one of these at least.
+
+    Beside an untouched part the lines stand side by side, as they do at both their ends.  Of the parts that are not
+    untouched one has at most one edit; windows lie in each, at the border where the lines are aligned.
     """
-    c = mix64(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
-    n = len(c)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * _powers(n)[:n], dtype=np.uint64)])
-    i = np.arange(max(0, lo), min(n, hi))
-    left = run[i] + (run[n] - run[i + 1]) * _INVERSE
-    own = lambda h, size: mix64(h * _TAG[0] + np.array([size], np.uint64) * _TAG[1])
-    return own(run[n : n + 1], n)[0], mix64(own(left, n - 1) ^ (i.astype(np.uint64) * _TAG[2])), own(left, n - 1)
+    w = min(WINDOW, size)
+    if kind in (0, 3):
+        found = [(1, line[size : size + w])]
+        return found if kind == 3 else [*found, (2, line[len(line) - w :])]
+    if kind == 1:
+        return [(0, line[start - min(WINDOW, base) : start])]
+    return [(0, line[:w])] if kind == 4 else [(0, line[:w]), (1, line[start - w : start])]
 
 
-def within_one(a: str, b: str) -> bool:
-    """Whether at most one insertion, deletion or substitution makes one text of the other."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[k:] == b[k + 1 :] or (len(a) == len(b) and a[k + 1 :] == b[k + 1 :])
+def neighbourhood(window: str) -> set[str]:
+    """The window and all that one deletion makes of it.
+
+    Windows of one size that begin where two texts are aligned, with at most one edit between them, share a member.
+    """
+    return {window, *(window[:i] + window[i + 1 :] for i in range(len(window)))}
 
 
 def _agreed(a: str, b: str) -> int:
@@ -116,40 +123,90 @@ def edits_apart(a: str, b: str, most: int) -> int:
     return found + 1
 
 
-def _pair_keys(texts: DataFrame, edits: int) -> DataFrame:
-    """(key, id, doc_id, line_no): a row per key of :func:`pair_keys`."""
+def _sharing(unique: DataFrame) -> DataFrame:
+    """(a, slot): lines, and which of their pieces, that may share a piece with another line.
+
+    Keys of pieces come in order over all partitions, and a row stays if it has its neighbour's key.  So no key's lines
+    are held or counted together, and a key of very many lines is cut like any other; rows at the edge of a batch stay
+    without a look, which costs a few more lines further on and loses none.
+    """
+    rows = unique.select("a", F.posexplode("keys").alias("slot", "key"))
+    rows = rows.repartitionByRange("key", "a").sortWithinPartitions("key")
+
+    def run(batches):
+        for batch in batches:
+            key = batch.column(2).to_numpy()
+            same = key[1:] == key[:-1]
+            keep = np.ones(len(key), bool)
+            keep[1:-1] = same[1:] | same[:-1]
+            yield batch.select(["a", "slot"]).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, "a long, slot int")
+
+
+def _variants(texts: DataFrame, edits: int) -> DataFrame:
+    """(key, win, a, b, size): the deletion neighbourhoods of the windows beside each line's shared pieces, as hashes.
+
+    ``win`` is the key of the window itself, ``size`` the line's characters.
+    """
+
+    def some(rows):
+        found = []  # row, piece, window
+        for r, (_, _, line, slots) in enumerate(rows):
+            every = pieces(len(line), edits)
+            for slot in slots:
+                kind, base, start, size = every[slot]
+                found += [(r, f"{kind} {base} ".encode() + line[start : start + size].encode("utf-8", "surrogatepass"), side, w) for side, w in windows(line, kind, base, start, size)]
+        if not found:
+            return None
+        shared = hash_words([f[1] for f in found])
+        hashed, count = [], np.zeros(len(found), np.int64)
+        for k, ((_, _, side, w), h) in enumerate(zip(found, shared, strict=True)):
+            every = neighbourhood(w)
+            every.remove(w)
+            head = h.tobytes() + bytes([side])
+            hashed += [head + v.encode("utf-8", "surrogatepass") for v in (w, *every)]
+            count[k] = 1 + len(every)
+        key = hash_words(hashed).view(np.int64)
+        first = np.cumsum(count) - count
+        at = np.repeat(np.array([f[0] for f in found]), count)
+        a, b, size = (np.array([v(r) for r in rows], np.int64) for v in (lambda r: r[0], lambda r: r[1], lambda r: len(r[2])))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.repeat(key[first], count), a[at], b[at], size[at])], names=["key", "win", "a", "b", "size"])
 
     def run(batches):
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for a in range(0, len(rows), 2000):
-                some = rows[a : a + 2000]
-                keys = [pair_keys(r[1], edits) for r in some]
-                w = np.repeat(np.arange(len(some)), [len(k) for k in keys])
-                ids, docs, nos = (np.array([r[c] for r in some], t)[w] for c, t in ((0, np.int64), (2, np.int64), (3, np.int32)))
-                hashed = hash_words([k for ks in keys for k in ks]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashed, ids, docs, nos)], names=["key", "id", "doc_id", "line_no"])
+            rows, held = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append(row)
+                held += 40 * len(row[3]) + len(row[2]) // 64
+                if held > 100_000:
+                    if (got := some(rows)) is not None:
+                        yield got
+                    rows, held = [], 0
+            if rows and (got := some(rows)) is not None:
+                yield got
 
-    return texts.select("id", "line", "first.doc_id", "first.line_no").mapInArrow(run, "key long, id long, doc_id long, line_no int")
+    return texts.select("a", "b", "line", "slots").mapInArrow(run, "key long, win long, a long, b long, size long")
 
 
 def _near(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """(id, doc_id, line_no, other, distance): in every group, or block of one, the earliest line near to each line.
+    """(a, b, first, far): in every group, or block of one, the earliest line near to each line, and the edits between.
 
-    members: key, id, doc_id, line_no, n (members of the key).  Groups come in order, one after the other.  Lines are
-    looked through from the earliest on up to the first near one, so of many true copies few are compared, and no pairs
-    are listed.  Each block of a large group meets each other one (role 0: looked through, 1: looks, 2: both).
+    members: key, win, a, b, n and chars (lines of the key, and their characters).  Groups come in order, one after the
+    other.  Lines are looked through from the earliest on up to the first near one, so of many true copies few are
+    compared, and no pairs are listed.  Two lines with the same window meet under that window's own key only.  Each
+    block of a large group meets each other one (role 0: looked through, 1: looks, 2: both).
     """
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    spot, every = F.pmod(F.xxhash64("id"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("chars") / BLOCK_CHARS))).cast("int")
+    spot, every = F.pmod(F.xxhash64("a", "b"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
     deal = lambda role, f: F.transform(every, lambda k: F.struct(F.lit(role).alias("role"), *f(k)))
     ours = deal(1, lambda k: (spot.alias("i"), k.alias("j")))
     theirs = deal(0, lambda k: (k.alias("i"), spot.alias("j")))
     alone = F.array(F.struct(F.lit(2).alias("role"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-    rows = members.join(texts.select("id", "line"), "id").select("key", "id", "doc_id", "line_no", "line", F.inline(F.when(parts == 1, alone).otherwise(F.concat(ours, theirs))))
+    dealt = members.select("key", "win", "a", "b", F.inline(F.when(parts == 1, alone).otherwise(F.concat(ours, theirs))))
     order = ["key", "i", "j"]
-    rows = rows.repartition(*order).sortWithinPartitions(*order, "doc_id", "line_no", "id", "role")
-    rows = rows.select(*order, "doc_id", "line_no", "id", "line", "role")
+    rows = dealt.join(texts.select("a", "b", "first", "line"), ["a", "b"])
+    rows = rows.repartition(*order).sortWithinPartitions(*order, "first", "role").select(*order, "win", "role", "a", "b", "first.doc_id", "first.line_no", "first.t", "line")
 
     def run(batches):
         group, held = None, []
@@ -158,87 +215,97 @@ def _near(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[:3] != group:
                     group, held = r[:3], []
-                at, line, role = r[3:6], r[6], r[7]
+                win, role, me, place, line = r[3], r[4], r[5:7], r[7:10], r[10]
                 if role:
-                    for place, other in held:
-                        if place != at and (far := edits_apart(other, line, edits)) <= edits:
-                            out.append((at[2], *place, far))
-                            break
+                    own, n = r[0] == win, len(line)
+                    for other_win, other_place, other in held:
+                        if (own or other_win != win) and other_place != place:
+                            most = bound(min(n, len(other)), edits)
+                            if (far := edits_apart(other, line, most)) <= most:
+                                out.append((*me, *other_place, far))
+                                break
                 if role != 1:
-                    held.append((at, line))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "doc_id", "line_no", "other", "distance"])
+                    held.append((win, place, line))
+            kinds = {"a": pa.int64(), "b": pa.int64(), "doc_id": pa.int64(), "line_no": pa.int32(), "t": pa.int64(), "far": pa.int32()}
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    return rows.mapInArrow(run, "id long, doc_id long, line_no int, other long, distance int")
+    return rows.mapInArrow(run, "a long, b long, doc_id long, line_no int, t long, far int")
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line: every line of ``docs`` (doc_id, text) that has a word, stripped."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    return rows.withColumn("line", _stripped(F.col("line"))).where("line <> '' and doc_id is not null")
-
-
-def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
-    """A row per line with a word: doc_id, line_no, kept, first_doc_id, first_line_no, distance.
-
-    Lines are compared without the blanks around them.  A line goes if an equal line is earlier (distance 0), or, from
-    ``near_chars`` characters on, if an earlier line is within ``edits`` insertions, deletions and substitutions (their
-    number is the distance); first_doc_id and first_line_no name the earliest such line, or the line itself if it
-    stays.  Earlier means a smaller doc_id, then a smaller line number.  Rows of one doc_id are one document; rows
-    without a doc_id or text have no lines.
+    """doc_id, t (hash of the text), line_no (from 0), line: every line of ``docs`` that has a word, without the blanks around it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return rows.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+
+
+def _judged(docs: DataFrame, edits: int) -> DataFrame:
+    """doc_id, t, line_no, and ``to``: the earliest line that is equal (far 0) or near (far over 0) to one that goes, else null."""
+    text, n = F.col("line"), F.col("n")
+    lines = line_table(docs).withColumn("n", F.char_length(text))
+    keys = F.transform(_pieces_of(n, edits), lambda p: F.xxhash64(p["kind"], p["base"], text.substr(p["start"] + 1, p["size"])))
+    lines = save(lines.select("doc_id", "t", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), keys.alias("keys")), "lines")
+    unique = save(lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "t")).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys")), "lines-unique")
+    slots = _sharing(unique).groupBy("a").agg(F.array_sort(F.collect_set("slot")).alias("slots"))
+    survivors = save(unique.select("a", "b", "first").join(slots, "a"), "lines-survivors")
 
-    Equal lines become one.  Of the rest, those that share no segment with any other line of fitting length can have
-    no partner and go no further; the others are grouped by pairs of segments, which hold half of the text.  Within
-    a group each line looks for the earliest near one on the texts; large groups are dealt to blocks.
-    """
-    lines = line_table(docs)
-    n = F.char_length("line")
-    lines = lines.select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.when(n >= near_chars, _segment_keys(F.col("line"), n, edits)).alias("segments"))
-    lines = save(lines, "lines")
-    unique = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"), F.first("segments").alias("segments"))
-    unique = save(unique, "lines-unique")
-    segments = unique.where("segments is not null").select("id", F.explode(F.array_distinct("segments")).alias("key"))
-    common = segments.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("id").distinct()
-    survivors = unique.select("id", "first").join(save(common, "lines-common"), "id")
-    survivors = save(survivors, "lines-survivors")
     holders = save(survivors.select("first.doc_id").distinct(), "lines-holders")
-    texts = line_table(docs.select("doc_id", "text").join(holders, "doc_id", "left_semi"))
-    at_first = survivors.select("id", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    texts = save(texts.join(at_first, ["doc_id", "line_no"]).where(F.xxhash64("line") == F.col("id")).select("id", "line", "first").dropDuplicates(["id"]), "lines-texts")
-    keys = save(_pair_keys(texts, edits), "lines-keys")
+    held = line_table(docs.select("doc_id", "text").join(holders, "doc_id", "left_semi"))
+    at_first = survivors.select("a", "b", "first", "slots", "first.doc_id", "first.line_no", "first.t")
+    texts = save(held.join(at_first, ["doc_id", "line_no", "t"]).select("a", "b", "first", "line", "slots").dropDuplicates(["a", "b"]), "lines-texts")
     drop_saved(holders, survivors)
 
-    shared = save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lines-shared")
-    members = save(keys.join(shared, "key"), "lines-members")
-    drop_saved(keys, shared)
-    near = _near(members, texts, edits).groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "other", "distance")).alias("m"))
-    near = near.select("id", F.col("m.doc_id").alias("near_doc"), F.col("m.line_no").alias("near_line"), F.col("m.distance").alias("far"))
+    variants = save(_variants(texts, edits), "lines-variants")
+    own = F.min("win") == F.col("key")
+    shared = variants.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("chars"), ((F.min("win") != F.max("win")) | own).alias("meet")).where("n > 1 and meet")
+    shared = save(shared.select("key", "n", "chars"), "lines-shared")
+    members = save(variants.join(shared, "key"), "lines-members")
+    drop_saved(variants, shared)
+    near = _near(members, texts, edits).groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "t", "far")).alias("near"))
     near = save(near, "lines-near")
+    drop_saved(texts, members)
+
+    verdicts = save(unique.where("times > 1").select("a", "b", "first").join(near, ["a", "b"], "full"), "lines-verdicts")
+    drop_saved(unique, near)
+    out = lines.select("doc_id", "t", "line_no", "a", "b").join(verdicts, ["a", "b"], "left")
+    equal = F.struct("doc_id", "line_no", "t") > F.col("first")
+    first = F.struct("first.doc_id", "first.line_no", "first.t", F.lit(0).alias("far"))
+    return out.select("doc_id", "t", "line_no", F.when(equal, first).otherwise(F.col("near")).alias("to"))
+
 
-    verdicts = unique.where("times > 1").select("id", "first").join(near, "id", "full")
-    verdicts = save(verdicts, "lines-verdicts")
-    drop_saved(unique, texts, members, near)
-    out = lines.select("doc_id", "line_no", "id").join(verdicts, "id", "left")
-    itself = F.struct("doc_id", "line_no")
-    first = F.coalesce("first", itself)
-    equal = F.coalesce(itself > F.col("first"), F.lit(False))
-    is_near = F.col("near_doc").isNotNull()
-    to = F.when(equal, first).when(is_near, F.struct(F.col("near_doc").alias("doc_id"), F.col("near_line").alias("line_no"))).otherwise(itself)
-    return out.select("doc_id", "line_no", (~equal & ~is_near).alias("kept"), to["doc_id"].alias("first_doc_id"), to["line_no"].alias("first_line_no"), F.when(equal, 0).when(is_near, F.col("far")).cast("int").alias("distance"))
+def duplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """A row per line with a word: doc_id, line_no, kept, first_doc_id, first_line_no, distance.
+
+    ``docs``: doc_id, text; other columns are ignored.  Lines are compared without the blanks around them.  A line goes
+    if an equal line is earlier (distance 0), or if an earlier line is near: within one edit (insertion, deletion,
+    substitution) for every ten characters of the shorter of the two, and within ``edits`` in all.  first_doc_id and
+    first_line_no name the earliest such line, or the line itself if it stays.  Earlier means a smaller doc_id, then a
+    smaller line number, then the smaller hash of the whole text (where rows of one doc_id differ).  Rows that repeat
+    doc_id and text are one document; rows without a doc_id or text have no lines; an empty table gives none.  Lines of
+    any length are compared whole; what a task holds is bounded by blocks of lines and of characters.
+
+    Equal lines become one, by 128 bits of hash.  Of the rest, only those that share a whole piece (see :func:`pieces`)
+    with another line can have a partner.  They emit the deletion neighbourhoods of the windows beside those pieces;
+    lines with an equal variant meet, their edit distance is taken on the whole texts, and the earliest is kept.
+    """
+    if edits not in (1, 2):
+        raise ValueError("edits must be 1 or 2")
+    to = lambda c: F.coalesce(F.col(f"to.{c}"), F.col(c)).alias(f"first_{c}")
+    return _judged(docs, edits).select("doc_id", "line_no", F.col("to").isNull().alias("kept"), to("doc_id"), to("line_no"), F.col("to.far").alias("distance"))
 
 
-def without_duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The rows of ``docs`` without the lines that :func:`duplicate_lines` drops; rows left without a word go.
 
     Columns keep their names and order; n_chars, if there is one, is the new text's length.  Rows that had no word
-    from the start stay as they are.
+    from the start, and rows without a doc_id, stay as they are.  A row loses lines by its own text's verdicts only,
+    also where rows of one doc_id differ.
     """
-    every = duplicate_lines(docs, near_chars)
-    dropped = every.where("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
-    dropped = save(dropped, "lines-dropped")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = rows.join(dropped, "doc_id", "left").select("row", "gone")
+    gone = save(_judged(docs, edits).where("to is not null").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "lines-gone")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"))
+    rows = rows.join(gone, ["doc_id", "t"], "left").select("row", "gone")
 
     def run(batches):
         for batch in batches:
@@ -249,7 +316,7 @@ def without_duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> Da
                 if g.is_valid and t is not None:
                     drop = set(g.as_py())
                     t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop])
-                    keep.append(bool(t.strip(" \t\n\v\f\r")))
+                    keep.append(bool(t.strip(BLANKS)))
                 else:
                     keep.append(True)
                 new.append(t)

@@ -86,21 +86,27 @@ def test_lm_learns(spark, order):
     assert lm.learn_weights({(33, 4, 0): 90, (33, 4, 255): 10}, 2, 1e-3)[33].sum() == pytest.approx(1)
 
 
-def test_lines(spark, docs, none):
-    got = lines.duplicate_lines(docs).collect()
+def near_lines(table, edits=2):
+    """Plain version: (doc_id, line_no) to (kept, first_doc_id, first_line_no, distance) for rows of different doc_ids."""
     first, order, want = {}, [], {}
-    for r in sorted({x[:2] for x in rows() if x[0] is not None}, key=lambda x: x[0]):
-        for k, line in enumerate((r[1] or "").split("\n")):
+    for doc, text in table:
+        for k, line in enumerate((text or "").split("\n")):
             line = line.strip(" \t\n\v\f\r")
             if not line:
                 continue
             if line in first:
-                want[r[0], k] = (False, *first[line], 0)
+                want[doc, k] = (False, *first[line], 0)
                 continue
-            near = [first[o] for o in order if len(o) >= 20 and len(line) >= 20 and lines.within_one(o, line)]
-            first[line] = (r[0], k)
+            near = [(*first[o], far) for o in order if abs(len(o) - len(line)) <= edits and (far := distance(o, line)) <= min(edits, min(len(o), len(line)) // 10)]
+            first[line] = (doc, k)
             order.append(line)
-            want[r[0], k] = (False, *min(near), 1) if near else (True, r[0], k, None)
+            want[doc, k] = (False, *min(near)) if near else (True, doc, k, None)
+    return want
+
+
+def test_lines(spark, docs, none):
+    got = lines.duplicate_lines(docs).collect()
+    want = near_lines(sorted({x[:2] for x in rows() if x[0] is not None}, key=lambda x: x[0]))
     assert {(r.doc_id, r.line_no): (r.kept, r.first_doc_id, r.first_line_no, r.distance) for r in got} == want
     assert {x[3] for x in want.values()} == {0, 1, None}
     kept = lines.without_duplicate_lines(docs)
@@ -110,24 +116,6 @@ def test_lines(spark, docs, none):
     assert lines.duplicate_lines(none).count() == 0 and lines.without_duplicate_lines(none).count() == 0
 
 
-def test_one_edit():
-    rnd = random.Random(2)
-    for _ in range(3000):
-        a = "".join(rnd.choices("ab", k=rnd.randint(0, 6)))
-        b = "".join(rnd.choices("ab", k=rnd.randint(0, 6)))
-        d = np.arange(len(b) + 1)
-        for i, x in enumerate(a):
-            e = [i + 1]
-            for j, y in enumerate(b):
-                e.append(min(d[j] + (x != y), d[j + 1] + 1, e[j] + 1))
-            d = e
-        assert lines.within_one(a, b) == (d[-1] <= 1)
-        if a != b and a and b:
-            (o1, s1, l1), (o2, s2, l2) = lines.deletions(a, 0, len(a)), lines.deletions(b, 0, len(b))
-            meet = bool(set(s1) & set(s2)) or o1 in l2 or o2 in l1
-            assert meet == lines.within_one(a, b)
-
-
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -138,36 +126,60 @@ def distance(a, b):
     return d[-1]
 
 
+def changed(rnd, w, most):
+    w = list(w)
+    for _ in range(rnd.randint(0, most)):
+        at = rnd.randrange(len(w))
+        w[at : at + rnd.randint(0, 1)] = rnd.choice(["", "y", "z", "a"])
+    return "".join(w)
+
+
 def test_edits_apart():
     rnd = random.Random(2)
     for _ in range(3000):
         a, b = ("".join(rnd.choices("ab", k=rnd.randint(0, 8))) for _ in range(2))
         for most in (0, 1, 2, 3):
             assert lines.edits_apart(a, b, most) == min(distance(a, b), most + 1)
-            if len(a) > 5 and len(b) > 5 and distance(a, b) <= most:
-                assert set(lines.pair_keys(a, most)) & set(lines.pair_keys(b, most))
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_lines_two_edits_apart(spark, monkeypatch, block):
+@pytest.mark.parametrize("edits", [1, 2])
+def test_near_lines_share_a_variant(edits):
+    def keys(x):
+        return {(kind, base, x[start : start + size], side, v) for kind, base, start, size in lines.pieces(len(x), edits) for side, w in lines.windows(x, kind, base, start, size) for v in lines.neighbourhood(w)}
+
+    rnd, met = random.Random(7), 0
+    for _ in range(8_000):
+        a = "".join(rnd.choices(rnd.choice(["ab", "abcdefgh"]), k=rnd.choice([rnd.randint(8, 30), rnd.randint(30, 90), rnd.randint(90, 400)])))
+        b = changed(rnd, a, edits)
+        if a != b and lines.edits_apart(a, b, edits) <= lines.bound(min(len(a), len(b)), edits):
+            met += 1
+            assert keys(a) & keys(b), (a, b)
+    assert met > 2000
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_pieces_are_alike_in_spark(spark, edits):
+    got = spark.range(1, 1200).select("id", lines._pieces_of(F.col("id").cast("int"), edits).alias("p")).collect()
+    assert all([tuple(p) for p in r.p] == lines.pieces(r.id, edits) for r in got)
+    assert all(size > 0 and 0 <= start <= n - size for n in range(1, 1200) for _, _, start, size in lines.pieces(n, edits))
+
+
+@pytest.mark.parametrize(("block", "edits"), [(512, 2), (8, 2), (8, 1)])
+def test_lines_a_few_edits_apart(spark, monkeypatch, block, edits):
     monkeypatch.setattr(lines, "BLOCK", block)
     rnd = random.Random(9)
-    bases = ["".join(rnd.choices("abc ", k=n)).strip().ljust(n, "x") for n in (19, 20, 22, 23, 24, 41, 80, 200)]
-    some = []
-    for k in range(240):
-        w = list(bases[k % 8])
-        for _ in range(rnd.randint(0, 4)):
-            at = rnd.randrange(len(w))
-            w[at : at + rnd.randint(0, 1)] = rnd.choice(["", "y", "z"])
-        some.append("".join(w).strip())
-    got = {r.doc_id: r for r in lines.duplicate_lines(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()}
-    seen = set()
-    for i, x in enumerate(some):
-        near = [(j, distance(some[j], x)) for j in range(i) if some[j] not in some[:j] and len(x) >= 20 and len(some[j]) >= 20]
-        found = (some.index(x), 0) if x in some[:i] else next((p for p in near if p[1] <= 2), (i, None))
-        assert (got[i].first_doc_id, got[i].distance, got[i].kept) == (*found, found[1] is None)
-        seen.add(found[1])
-    assert seen == {0, 1, 2, None}
+    bases = ["".join(rnd.choices("abc ", k=n)).strip().ljust(n, "x") for n in (5, 9, 10, 11, 19, 20, 21, 22, 24, 41, 80, 200)]
+    some = [(k, changed(rnd, bases[k % len(bases)], 4).strip() or "x") for k in range(360)]
+    got = {(r.doc_id, r.line_no): (r.kept, r.first_doc_id, r.first_line_no, r.distance) for r in lines.duplicate_lines(spark.createDataFrame(some, "doc_id long, text string"), edits).collect()}
+    want = near_lines(some, edits)
+    assert got == want and {x[3] for x in want.values()} == {0, None, *range(1, edits + 1)}
+
+
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    other = "a line that stands elsewhere too"
+    table = [(1, other), (5, f"{other}\nfirst own line of this row"), (5, f"second own line of that row\n{other}"), (5, f"second own line of that row\n{other}"), (7, "a line that stands elsewhere tooo")]
+    left = collections.Counter((r.doc_id, r.text) for r in lines.without_duplicate_lines(spark.createDataFrame(table, "doc_id long, text string")).collect())
+    assert left == {(1, other): 1, (5, "first own line of this row"): 1, (5, "second own line of that row"): 2}
 
 
 def test_quality(spark, docs, none):
