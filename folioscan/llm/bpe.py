@@ -7,10 +7,11 @@ import hashlib
 import itertools
 import json
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Fixed value: how this family of tokenizers splits a text before encoding.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's tables of pieces and of token pairs may hold before they start anew.

@@ -10,19 +10,22 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: At most so many documents of a language are fitted on, those with the smallest hashes; a documented bound.
-FIT_DOCS = 3000
-#: Bytes of the longest piece; bytes of words that are scored many at a time; words a worker remembers.
-PIECE_BYTES, WORD_BYTES, KNOWN_WORDS = 12, 40, 150_000
-#: Words whose sums are taken together, and characters of texts: a worker keeps the memory of its largest batch.
-WORDS_AT_ONCE, CHARS_AT_ONCE = 4_000, 600_000
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: At most so many documents and bytes of a language are fitted on, those with the smallest hashes; a documented bound.
+FIT_DOCS, FIT_BYTES = 3000, 32 << 20
+#: Steps per factor of two in which the hash is found that keeps to this bound.
+HASH_STEPS = 64
+#: Bytes of words that are summed many at a time; longer ones go one by one, unless so many of a length come together.
+WORD_BYTES, MANY = 40, 100
+#: Words that a worker remembers, words whose sums are taken together, and characters of texts.
+KNOWN_WORDS, WORDS_AT_ONCE, CHARS_AT_ONCE = 150_000, 4_000, 600_000
 #: Languages that are scored in one pass; more take further passes.
 LANGS_AT_ONCE = 32
 UNDETERMINED = "und"
@@ -30,9 +33,22 @@ UNDETERMINED = "und"
 #: few words that a language hardly knows, cannot outweigh the rest of a text.
 ELSEWHERE = 0.1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SCALE = 1024.0  # per byte, against underflow
+_SCALE, _RESCALE = 1024.0, 24  # per byte, against underflow; every so many bytes the sums are brought back to one
+_RUNS = re.compile(r"[^\W\d_]+").findall
 
-words_of = re.compile(r"[^\W\d_]+").findall
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters; numbers that are no digits (such as one half) part them like other signs."""
+    found = _RUNS(text)
+    if text.isascii():
+        return found
+    return [x for w in found for x in ((w,) if w.isalpha() else "".join([c if c.isalpha() else " " for c in w]).split())]
+
+
+def _in_words(piece: bytes) -> bool:
+    """Whether a piece can be part of a word in lower case with a blank before it; characters cut in two may be any."""
+    letters = piece.decode(errors="ignore").removeprefix(" ")
+    return not letters or (letters.isalpha() and letters == letters.lower())
 
 
 class Pieces:
@@ -41,7 +57,8 @@ class Pieces:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             found = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-        pieces = sorted({p for p in found if len(p) <= PIECE_BYTES} | {bytes([b]) for b in range(256)})
+        pieces = sorted(found | {bytes([b]) for b in range(256)})
+        self.longest = max(len(p) for p in pieces if _in_words(p))
         self.id = {p: i for i, p in enumerate(pieces)}
         self.n = len(pieces)
         with np.errstate(over="ignore"):
@@ -82,7 +99,7 @@ class Pieces:
         b = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n).astype(np.uint64) + np.uint64(1)
         for i in range(n):
             h = np.zeros(len(words), np.uint64)
-            for j in range(i + 1, min(n, i + PIECE_BYTES) + 1):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
                 h = h * _BASE + b[:, j - 1]
                 p = self.find(h)
                 rows = np.flatnonzero(p >= 0)
@@ -102,55 +119,76 @@ def spell(word: str) -> bytes:
 def forward(v: Pieces, words: list[bytes], prob: np.ndarray) -> np.ndarray:
     """Natural log probability of each word under each language: the sum over all its segmentations into pieces.
 
-    prob: pieces x languages.  Words are taken together by length; long ones one by one with rescaling.
+    prob: pieces x languages.  Words are taken together by length; few long ones of a length one by one.
     """
     out = np.zeros((len(words), prob.shape[1]))
     by: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by.setdefault(len(w), []).append(k)
     for n, ks in by.items():
-        if n > WORD_BYTES:
+        if n > WORD_BYTES and (len(ks) < MANY or n > 64 * WORD_BYTES):
             for k in ks:
                 out[k] = _forward_long(v, words[k], prob)
             continue
-        for a in range(0, len(ks), WORDS_AT_ONCE):
-            some = ks[a : a + WORDS_AT_ONCE]
-            alpha = np.zeros((n + 1, len(some), prob.shape[1]))
+        together = max(1, WORDS_AT_ONCE * WORD_BYTES // max(n, WORD_BYTES))
+        for a in range(0, len(ks), together):
+            some, at = ks[a : a + together], 0
+            alpha, logs = np.zeros((n + 1, len(some), prob.shape[1])), np.zeros(len(some))
             alpha[0] = 1.0
             for i, j, rows, p in v.grid([words[k] for k in some]):
+                if i >= at + _RESCALE:  # what begins at i is complete; all that is still open begins here or further on
+                    at, top = i, alpha[i].max(axis=1)
+                    alpha[i : i + v.longest + 1] /= top[:, None]
+                    logs += np.log(top)
                 alpha[j, rows] += alpha[i, rows] * prob[p] * _SCALE ** (j - i)
-            out[some] = np.log(alpha[n]) - n * math.log(_SCALE)
+            with np.errstate(divide="ignore"):
+                out[some] = np.maximum(np.log(alpha[n]), -700.0) + logs[:, None] - n * math.log(_SCALE)
     return out
 
 
 def _forward_long(v: Pieces, w: bytes, prob: np.ndarray) -> np.ndarray:
-    window, logs = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])  # the last PIECE_BYTES sums, relative to exp(logs)
+    window, logs = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])  # the last sums, relative to exp(logs)
     for j in range(1, len(w) + 1):
         s = np.zeros(prob.shape[1])
-        for m in range(1, min(len(window), PIECE_BYTES) + 1):
+        for m in range(1, min(len(window), v.longest) + 1):
             p = v.id.get(w[j - m : j])
             if p is not None:
                 s += window[-m] * prob[p]
-        window = [*window[-PIECE_BYTES + 1 :], s]
+        window = [*window[-v.longest + 1 :], s]
         if s.max() < 1e-100:
             top = np.maximum(s, 1e-300)
             window, logs = [x / top for x in window], logs + np.log(top)
     return logs + np.log(window[-1])
 
 
-def fit(v: Pieces, counts: Counter, rounds: int = 3, floor: float = 0.01) -> np.ndarray:
+def _parts(word: bytes) -> list[bytes]:
+    """A word that is fitted on, in parts of WORD_BYTES at most, cut between characters: all of a long run teaches."""
+    out = []
+    while len(word) > WORD_BYTES:
+        k = WORD_BYTES
+        while k > WORD_BYTES - 4 and word[k] & 0xC0 == 0x80:
+            k -= 1
+        out.append(word[:k])
+        word = word[k:]
+    return [*out, word]
+
+
+def fit(v: Pieces, counts: dict[bytes, int], rounds: int = 3, floor: float = 0.01) -> np.ndarray:
     """Piece probabilities of one language from word counts: expected piece counts over all segmentations, re-estimated."""
     prob = np.full(v.n, 1.0 / v.n)
+    part_counts: Counter = Counter()
+    for w, n in counts.items():
+        for p in _parts(w):
+            part_counts[p] += n
     by: dict[int, list[bytes]] = {}
-    for w in counts:
-        if len(w) <= WORD_BYTES:
-            by.setdefault(len(w), []).append(w)
+    for w in part_counts:
+        by.setdefault(len(w), []).append(w)
     for _ in range(rounds):
         expected = np.full(v.n, floor)
         for n, every in by.items():
             for a in range(0, len(every), WORDS_AT_ONCE):
                 words = every[a : a + WORDS_AT_ONCE]
-                times = np.array([counts[w] for w in words], float)
+                times = np.array([part_counts[w] for w in words], float)
                 spans = list(v.grid(words))
                 alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
                 alpha[0] = beta[n] = 1.0
@@ -158,82 +196,124 @@ def fit(v: Pieces, counts: Counter, rounds: int = 3, floor: float = 0.01) -> np.
                     alpha[j, rows] += alpha[i, rows] * prob[p] * _SCALE ** (j - i)
                 for i, j, rows, p in reversed(spans):
                     beta[i, rows] += beta[j, rows] * prob[p] * _SCALE ** (j - i)
-                share = times / alpha[n]
+                share = times / np.maximum(alpha[n], 1e-300)
                 for i, j, rows, p in spans:
                     expected += np.bincount(p, alpha[i, rows] * prob[p] * _SCALE ** (j - i) * beta[j, rows] * share[rows], v.n)
         prob = expected / expected.sum()
     return prob
 
 
-def train(docs: DataFrame, learn: Column, path: str = VOCABULARY, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """lang, prob (array by piece): fitted on at most ``fit_docs`` documents a language among those where ``learn`` holds.
+def _chosen(rows: DataFrame, fit_docs: int, fit_bytes: int) -> DataFrame:
+    """lang, text: rows of each language (lang, text, h) from the smallest hash on, up to ``fit_docs`` and ``fit_bytes``.
 
-    ``docs``: doc_id, text, lang.  Rows with null text or lang teach nothing.  The documents of a language are those
-    with the smallest hashes of id and text; a first pass finds the hash that bounds them, a second reads their texts.
+    Hashes are told apart by their size in HASH_STEPS steps per factor of two.  Rows and bytes are summed per language
+    and step (map-side, some thousand sums a language however many rows there are); the last step that keeps to both
+    bounds ends the choice, at the first one if none does.  Equal rows (id, text) count for the bound but teach once.
+    """
+    size = F.greatest(F.lit(1.0), F.shiftrightunsigned("h", 1).cast("double"))
+    rows = rows.withColumn("step", F.floor(F.log2(size) * HASH_STEPS).cast("int"))
+    upto = Window.partitionBy("lang").orderBy("step")
+    sums = rows.groupBy("lang", "step").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sums = sums.withColumn("docs", F.sum("n").over(upto)).withColumn("bytes", F.sum("bytes").over(upto)).withColumn("k", F.row_number().over(upto))
+    within = ((F.col("docs") <= fit_docs) & (F.col("bytes") <= fit_bytes)) | (F.col("k") == 1)
+    bound = save(sums.where(within).groupBy("lang").agg(F.max("step").alias("last")), "langid-bound")
+    return rows.join(bound, "lang").where("step <= last").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def train(docs: DataFrame, learn: Column, path: str = VOCABULARY, fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> DataFrame:
+    """lang, prob (array by piece): fitted on rows where ``learn`` holds, on a bounded number of them.
+
+    ``docs``: doc_id, text, lang; other columns are ignored.  Rows with null text or lang teach nothing; an empty table,
+    or one without a language, gives no model.  The documents of a language are those with the smallest hashes of id
+    and text: at most ``fit_docs`` of them, of ``fit_bytes`` bytes together, and one at least; a first pass finds the
+    hash that bounds them, a second reads their texts and counts their words where they are; a language is fitted on
+    the sums.  Words of any length teach, long runs in parts.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("h"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    rows = rows.where("learn and lang is not null and text is not null")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bound = save(rows.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= fit_docs).groupBy("lang").agg(F.max("h").alias("most")), "langid-bound")
+    rows = rows.where("learn and lang is not null and text is not null").drop("learn")
+
+    def count(batches):
+        for batch in batches:
+            found: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found.setdefault(lang, Counter()).update(words_of(text.as_py().lower()))
+            cells = [(lang, w, n) for lang, c in found.items() for w, n in c.items()] or [(None, None, None)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts: Counter = Counter()
-        for text in pdf.text:
-            counts.update(words_of(text.lower()))
-        prob = fit(vocabulary(path), Counter({spell(w): n for w, n in counts.items()}))
+        prob = fit(vocabulary(path), {spell(w): n for w, n in zip(pdf.word, pdf.n, strict=True)})
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "prob": [prob]})
 
-    chosen = rows.join(bound, "lang").where("h <= most").select("lang", "text")
-    return save(chosen.groupBy("lang").applyInPandas(run, "lang string, prob array<double>"), "langid-model")
+    counts = _chosen(rows, fit_docs, fit_bytes).mapInArrow(count, "lang string, word string, n long").where("lang is not null")
+    return save(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).groupBy("lang").applyInPandas(run, "lang string, prob array<double>"), "langid-model")
 
 
 def predict(docs: DataFrame, model: DataFrame, path: str = VOCABULARY, text: str = "text") -> DataFrame:
     """All columns of ``docs`` in the column ``row``, and lang_pred and score: the likeliest language and its posterior.
 
-    Only the text is looked at.  It is put in lower case and cut into runs of letters; what stands between is left
-    out.  A null text, or one without letters, is ``und`` with score 0; so is every text if no language was learned.
-    Texts are scored whole: a word's probability is its language's, or with the chance ELSEWHERE that of all languages'
-    mean.  Models come to each worker as piece probabilities, whose size is bounded by the fixed
-    vocabulary and LANGS_AT_ONCE; more languages are scored in further passes that carry the best so far.
+    Only the text is looked at, whatever other columns are named.  It is put in lower case and cut into runs of
+    letters; what stands between is left out.  A null text, or one without letters, is ``und`` with score 0; so is
+    every text if no language was learned.  Repeated rows get equal results, of equal likelihoods the first language by
+    name wins, and an empty table gives none.  Texts are scored whole, long ones too: a word's probability is its
+    language's, or with the chance ELSEWHERE that of all languages' mean.  Models come to each worker as piece
+    probabilities, whose size is bounded by the fixed vocabulary and LANGS_AT_ONCE; more languages are scored in
+    further passes, of which the best and the sum are taken.
     """
     langs = [r[0] for r in model.select("lang").orderBy("lang").collect()]
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(None).cast("string").alias("best"), F.lit(None).cast("double").alias("best_log"), F.lit(None).cast("double").alias("sum_log"))
-    schema = out.schema
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if not langs:
+        return docs.select(row, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    passes = [langs[a : a + LANGS_AT_ONCE] for a in range(0, len(langs), LANGS_AT_ONCE)]
     total = 0.0
-    for a in range(0, len(langs), LANGS_AT_ONCE):
-        total = total + sum(np.array(r[0]) for r in model.where(F.col("lang").isin(langs[a : a + LANGS_AT_ONCE])).select("prob").collect())
-    for a in range(0, len(langs), LANGS_AT_ONCE):
-        names = langs[a : a + LANGS_AT_ONCE]
+    for names in passes:
+        total = total + sum(np.array(r[0]) for r in model.where(F.col("lang").isin(names)).select("prob").collect())
+    out = docs.select(row, F.col(f"`{text}`").cast("string").alias("text"))
+    for k, names in enumerate(passes):
         found = {r["lang"]: r["prob"] for r in model.where(F.col("lang").isin(names)).collect()}
         shared = docs.sparkSession.sparkContext.broadcast((names, np.array([*(found[x] for x in names), total / len(langs)]).T.copy()))
-        out = out.mapInArrow(functools.partial(_score, shared=shared, path=path, text=text), schema)
-    score = F.when(F.col("best").isNotNull(), F.least(F.exp(F.col("best_log") - F.col("sum_log")), F.lit(1.0))).otherwise(0.0)
-    return out.select("row", F.coalesce("best", F.lit(UNDETERMINED)).alias("lang_pred"), score.alias("score"))
+        out = out.withColumn(f"p{k}", _scorer(shared, path)(F.col("text")))
+    every = F.filter(F.array(*[F.col(f"p{k}") for k in range(len(passes))]), lambda p: p["lang"].isNotNull())
+    top = F.array_max(F.transform(every, lambda p: p["top"]))
+    best = F.filter(every, lambda p: p["top"] == F.array_max(F.transform(every, lambda q: q["top"])))
+    out = out.select("row", F.get(best, F.lit(0))["lang"].alias("lang"), top.alias("top"), F.transform(every, lambda p: p["total"]).alias("sums"))
+    share = 1 / F.aggregate("sums", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("top")))
+    return out.select("row", F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang_pred"), F.when(F.col("lang").isNotNull(), F.least(share, F.lit(1.0))).otherwise(0.0).alias("score"))
 
 
 _known: tuple = (None, {}, None)
 
 
-def _score(batches, shared, path: str, text: str):
+def _scorer(shared, path: str):
+    """lang, top, total of a text: the likeliest of the shared languages, its log likelihood, and that of all together.
+
+    Only texts go to the workers and only three values come back; the rest of a row stays where it is.
+    """
+
+    @F.arrow_udf("struct<lang:string,top:double,total:double>")
+    def score(text: pa.Array) -> pa.Array:
+        return _score(text, shared, path)
+
+    return score
+
+
+def _score(text: pa.Array, shared, path: str) -> pa.Array:
     global _known
     v, (names, prob) = vocabulary(path), shared.value
-    if _known[0] != shared.id if hasattr(shared, "id") else _known[0] is not names:
-        _known = (getattr(shared, "id", names), {}, np.zeros((KNOWN_WORDS, len(names))))
-    for batch in batches:
-        texts = batch.column(0).field(text)
-        at, n = 0, batch.num_rows
-        while at < n:
-            end, size = at, 0
-            while end < n and (end == at or size < CHARS_AT_ONCE):
-                size += len(texts[end].as_py() or "")
-                end += 1
-            yield _score_some(batch.slice(at, end - at), texts.slice(at, end - at), v, names, prob)
-            at = end
+    if _known[0] is not names:
+        _known = (names, {}, np.zeros((KNOWN_WORDS, len(names))))
+    out, at, n = [], 0, len(text)
+    while at < n:
+        end, size = at, 0
+        while end < n and (end == at or size < CHARS_AT_ONCE):
+            size += len(text[end].as_py() or "")
+            end += 1
+        out += _score_some(text.slice(at, end - at), v, names, prob)
+        at = end
     pa.default_memory_pool().release_unused()
+    return pa.array([None if x is None else {"lang": x[0], "top": x[1], "total": x[2]} for x in out], pa.struct([("lang", pa.string()), ("top", pa.float64()), ("total", pa.float64())]))
 
 
-def _score_some(batch, texts, v: Pieces, names: list, prob: np.ndarray):
-    global _known
+def _score_some(texts: pa.Array, v: Pieces, names: list, prob: np.ndarray) -> list[tuple | None]:
     tokens = [words_of(t.lower()) if (t := x.as_py()) else [] for x in texts]
     sizes = np.array([len(t) for t in tokens])
     flat = np.empty(int(sizes.sum()), dtype=object)
@@ -253,20 +333,14 @@ def _score_some(batch, texts, v: Pieces, names: list, prob: np.ndarray):
         per_word = table[[row_of[w] for w in unique]] if len(unique) else logs
     else:
         per_word = logs
-    total = np.zeros((len(sizes), len(names)))
+    found: list[tuple | None] = [None] * len(sizes)
     has = np.flatnonzero(sizes > 0)
     if len(has):
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[has]
-        total[has] = np.add.reduceat(per_word[codes], starts, axis=0)
-    best, best_log, sum_log = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-    for k in has:
-        j = int(total[k].argmax())
-        top = float(total[k, j])
-        log = top + math.log(float(np.exp(total[k] - top).sum()))
-        if best[k] is None:
-            best[k], best_log[k], sum_log[k] = names[j], top, log
-        else:
-            sum_log[k] = float(np.logaddexp(sum_log[k], log))
-            if top > best_log[k]:
-                best[k], best_log[k] = names[j], top
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(best_log, pa.float64()), pa.array(sum_log, pa.float64())], names=["row", "best", "best_log", "sum_log"])
+        sums = np.add.reduceat(per_word[codes], starts, axis=0)
+        best = sums.argmax(axis=1)
+        top = sums[np.arange(len(has)), best]
+        total = top + np.log(np.exp(sums - top[:, None]).sum(axis=1))
+        for k, j, t, s in zip(has, best, top, total, strict=True):
+            found[k] = (names[j], float(t), float(s))
+    return found
