@@ -24,55 +24,73 @@ def bound(chars: int, edits: int = EDITS) -> int:
     return min(edits, chars // CHARS_PER_EDIT)
 
 
-def _cut(q: int) -> int:
-    """``q`` with all but its three leading binary digits zero: a length that neighbouring lengths share."""
+Piece = tuple[int, int, int, int]
+
+
+def _cut(n: int, k: int, q: int) -> list[Piece]:
+    """Pieces of a line of ``n`` characters for a shorter one whose parts, k + 1 of them, have ``q``.
+
+    Lengths and places keep their three leading binary digits, so that neighbouring q mostly give the same pieces.
+    """
     step = 1 << max(0, q.bit_length() - 3)
-    return q // step * step
+    g = q // step * step
+    if k == 1:
+        return [(3, 0, 0, g), (4, 0, n - g, g)]
+    base = g + step
+    size = (2 * q - 1 - base) // step * step
+    return [(0, 0, 0, g), (1, base, base, size), (1, base, base + 1, size), (2, 0, n - g, g)]
 
 
-def pieces(n: int, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
-    """(kind, base, start, size) of the pieces that a line of ``n`` characters is looked up by.
+def pieces(n: int, edits: int = EDITS) -> list[Piece | None]:
+    """(kind, base, start, size) of the pieces that a line of ``n`` characters is looked up by; None stands for repeated ones.
 
     Two near lines share a piece's kind, base and text.  The shorter line (of m characters) in thirds for two edits, in
     halves for one: some part is untouched.  If it is the first (kinds 0, 3) or the last (2, 4), both lines share what
     stands at that end.  If it is the middle one alone (1), one edit is before it and moves it by one at most, so one
     line has the piece at ``base`` and the other there or one further on.  Either line may be the shorter, so every m
-    from n - edits on counts; sizes and places are rounded, so that most m give the same pieces.
+    from n - edits on counts; from a length on, these have two sizes of parts at most.
     """
-    out = []
-    for m in range(n, n - edits - 1, -1):
-        k = bound(m, edits)
-        if m <= 0 or n - m > k or not k:
-            continue
-        if k == 1:
-            g = _cut(m // 2)
-            out += [(3, 0, 0, g), (4, 0, n - g, g)]
-            continue
-        q = m // 3
-        step, g = 1 << max(0, q.bit_length() - 3), _cut(q)
-        base = (q // step + 1) * step
-        size = (2 * q - 1 - base) // step * step
-        out += [(0, 0, 0, g), (1, base, base, size), (1, base, base + 1, size), (2, 0, n - g, g)]
-    return list(dict.fromkeys(out))
-
-
-def _pieces_of(n: Column, edits: int) -> Column:
-    """:func:`pieces` of a column, as an array of structs: a table for short lines, its rule for the others."""
-    parts, least = edits + 1, edits * (CHARS_PER_EDIT + 1)
-    made = lambda *c: F.struct(*[x.cast("int").alias(name) for x, name in zip(c, ("kind", "base", "start", "size"), strict=True)])
-    table = F.array(*[F.array(*[made(*map(F.lit, p)) for p in pieces(i, edits)]) if pieces(i, edits) else F.array().cast("array<struct<kind:int,base:int,start:int,size:int>>") for i in range(least)])
-    long = []
-    for less in range(parts):
-        q = F.floor((n - less) / parts).cast("int")
-        step = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.length(F.bin(q)) - 3))
-        g = (q - q % step).cast("int")
-        if edits == 1:
-            long += [made(F.lit(3), F.lit(0), F.lit(0), g), made(F.lit(4), F.lit(0), n - g, g)]
-            continue
-        base = q - q % step + step
-        size = (2 * q - 1 - base) - (2 * q - 1 - base) % step
-        long += [made(F.lit(0), F.lit(0), F.lit(0), g), made(F.lit(1), base, base, size), made(F.lit(1), base, base + 1, size), made(F.lit(2), F.lit(0), n - g, g)]
-    return F.when(n >= least, F.array_distinct(F.array(*long))).otherwise(F.get(table, n))
+    if n >= edits * (CHARS_PER_EDIT + 1):
+        one, other = (_cut(n, edits, q // (edits + 1)) for q in (n, n - edits))
+        return one + [None if p == o else p for p, o in zip(other, one, strict=True)]
+    shorter = [(m, bound(m, edits)) for m in range(n, max(0, n - edits - 1), -1)]
+    return list(dict.fromkeys(p for m, k in shorter if n - m <= k and k for p in _cut(n, k, m // (k + 1))))
+
+
+def _with_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (line, and other columns) with ``keys``: hashes of the :func:`pieces` of each line, in their order.
+
+    Plain expressions, which Spark compiles, for all but the shortest lines; for these a table of their pieces.  Places
+    are worked out column by column, each once.
+    """
+    least, names, n, line = edits * (CHARS_PER_EDIT + 1), lines.columns, F.col("n"), F.col("line")
+    x = lines.withColumn("n", F.char_length("line"))
+    x = x.select("*", *[F.floor((n - less) / (edits + 1)).cast("int").alias(f"q{k}") for k, less in enumerate((0, edits))])
+
+    def step(q):
+        out = F.when(q < 8, 1)
+        for e in range(1, 28):
+            out = out.when(q < 8 << e, 1 << e)
+        return out
+
+    x = x.select("*", *[step(F.col(f"q{k}")).alias(f"s{k}") for k in (0, 1)])
+    x = x.select("*", *[F.expr(f"q{k} - q{k} % s{k} AS g{k}") for k in (0, 1)])
+    x = x.select("*", *[F.expr(f"g{k} + s{k} AS base{k}") for k in (0, 1)])
+    x = x.select("*", *[F.expr(f"(2 * q{k} - 1 - base{k}) - (2 * q{k} - 1 - base{k}) % s{k} AS size{k}") for k in (0, 1)])
+    key = lambda kind, base, start, size: F.xxhash64(kind, base, line.substr(start + 1, size))
+    out, zero = [], F.lit(0)
+    for k in (0, 1):
+        g, base, size = F.col(f"g{k}"), F.col(f"base{k}"), F.col(f"size{k}")
+        begin, end = (key(F.lit(kind), zero, start, g) for kind, start in zip((3, 4) if edits == 1 else (0, 2), (zero, n - g), strict=True))
+        middle = [] if edits == 1 else [key(F.lit(1), base, base, size), key(F.lit(1), base, base + 1, size)]
+        if k:
+            begin, end = (F.when(F.expr("g1 <> g0"), c) for c in (begin, end))
+            middle = [F.when(F.expr("base1 <> base0 OR size1 <> size0"), c) for c in middle]
+        out += [begin, *middle, end]
+    kind = "array<struct<kind:int,base:int,start:int,size:int>>"
+    table = F.array(*[F.array(*[F.struct(*map(F.lit, p)) for p in pieces(i, edits)]).cast(kind) for i in range(least)])
+    short = F.transform(F.get(table, n), lambda p: key(p["kind"], p["base"], p["start"], p["size"]))
+    return x.select(*names, F.when(n >= least, F.array(*out)).otherwise(short).alias("keys"))
 
 
 def windows(line: str, kind: int, base: int, start: int, size: int) -> list[tuple[int, str]]:
@@ -130,7 +148,7 @@ def _sharing(unique: DataFrame) -> DataFrame:
     are held or counted together, and a key of very many lines is cut like any other; rows at the edge of a batch stay
     without a look, which costs a few more lines further on and loses none.
     """
-    rows = unique.select("a", F.posexplode("keys").alias("slot", "key"))
+    rows = unique.select("a", F.posexplode("keys").alias("slot", "key")).where("key is not null")
     rows = rows.repartitionByRange("key", "a").sortWithinPartitions("key")
 
     def run(batches):
@@ -242,10 +260,8 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, edits: int) -> DataFrame:
     """doc_id, t, line_no, and ``to``: the earliest line that is equal (far 0) or near (far over 0) to one that goes, else null."""
-    text, n = F.col("line"), F.col("n")
-    lines = line_table(docs).withColumn("n", F.char_length(text))
-    keys = F.transform(_pieces_of(n, edits), lambda p: F.xxhash64(p["kind"], p["base"], text.substr(p["start"] + 1, p["size"])))
-    lines = save(lines.select("doc_id", "t", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), keys.alias("keys")), "lines")
+    lines = _with_keys(line_table(docs), edits)
+    lines = save(lines.select("doc_id", "t", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "keys"), "lines")
     unique = save(lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no", "t")).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys")), "lines-unique")
     slots = _sharing(unique).groupBy("a").agg(F.array_sort(F.collect_set("slot")).alias("slots"))
     survivors = save(unique.select("a", "b", "first").join(slots, "a"), "lines-survivors")
@@ -298,31 +314,30 @@ def duplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 def without_duplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The rows of ``docs`` without the lines that :func:`duplicate_lines` drops; rows left without a word go.
 
-    Columns keep their names and order; n_chars, if there is one, is the new text's length.  Rows that had no word
-    from the start, and rows without a doc_id, stay as they are.  A row loses lines by its own text's verdicts only,
+    Columns keep their names and order; n_chars, if there is one, is the new text's length where lines went.  Rows that
+    had no word from the start, and rows without a doc_id, stay as they are.  A row loses lines by its own text's verdicts only,
     also where rows of one doc_id differ.
     """
     gone = save(_judged(docs, edits).where("to is not null").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "lines-gone")
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"))
+    text, kind = F.col("row.text").cast("string"), docs.schema["text"].dataType
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"))
     rows = rows.join(gone, ["doc_id", "t"], "left").select("row", "gone")
 
-    def run(batches):
-        for batch in batches:
-            text, gone = batch.column(0).field("text"), batch.column(1)
-            new, keep = [], []
-            for t, g in zip(text, gone, strict=True):
-                t = t.as_py()
-                if g.is_valid and t is not None:
-                    drop = set(g.as_py())
-                    t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop])
-                    keep.append(bool(t.strip(BLANKS)))
-                else:
-                    keep.append(True)
-                new.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["row", "new"]).filter(pa.array(keep, pa.bool_()))
-
-    row_type = rows.schema["row"].dataType.simpleString()
-    done = rows.mapInArrow(run, f"row {row_type}, new string")
-    fresh = {"text": F.col("new"), "n_chars": F.when(F.col("new").isNotNull(), F.char_length("new")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    @F.arrow_udf("string")
+    def left(text: pa.Array, gone: pa.Array) -> pa.Array:
+        return pa.array([_without(t.as_py(), g.as_py()) if g.is_valid else None for t, g in zip(text, gone, strict=True)], pa.string())
+
+    has = F.col("gone").isNotNull()
+    done = rows.withColumn("new", left(F.when(has, text), F.col("gone"))).where(~has | F.col("new").isNotNull())
+    fresh = {"text": F.when(has, F.col("new").cast(kind)).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        chars = F.char_length(F.when(has, F.col("new")).otherwise(text))
+        fresh["n_chars"] = F.when(has, chars.cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return done.select(*[(fresh[c] if c in fresh else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def _without(text: str, gone: list[int]) -> str | None:
+    """A text without some of its lines; None if no word is left."""
+    drop = set(gone)
+    text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop])
+    return text if text.strip(BLANKS) else None
