@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from .common import components, drop_saved, hash_words, mix64, save
 
-#: Words of a shingle, least similarity, bands and registers of a band.  A pair at 0.8 meets in a band with
-#: probability 0.99997, a pair at 0.3 with 0.06.
+#: Words of a shingle, least similarity, bands and registers of a band.  A pair whose shingle sets have a similarity of
+#: 0.8, the measure that decides, meets in a band with probability 0.99997, a pair at 0.3 with 0.06.
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 26, 5
-#: Documents that meet as many in one task of the last step.
-BLOCK = 192
+#: Documents that meet as many in one task of the last step, and their shingles.
+BLOCK, BLOCK_SHINGLES = 192, 2 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -62,26 +62,32 @@ def prob_min_hash(h: np.ndarray, weight: np.ndarray, m: int) -> np.ndarray:
 
 
 def sketch(text: str | None, bands: int = BANDS, rows: int = ROWS):
-    """Number of distinct shingles and a key per band.  Weights are 1 + ln(occurrences)."""
+    """Number of distinct shingles and a key per band.
+
+    Bands come from a sketch in which every shingle weighs one, which estimates the similarity of the sets; where
+    shingles repeat, as many more come from one with the weights 1 + ln(occurrences).  So texts that differ in how
+    often a passage stands in them meet by what they hold, and texts with the same repeats by either.
+    """
     h, n = np.unique(shingles(text), return_counts=True)
     if not len(h):
         return 0, None
-    won = prob_min_hash(h, 1 + np.log(n), bands * rows)
-    key = np.arange(bands, dtype=np.uint64)
+    weights = [np.ones(len(h))] + ([1 + np.log(n)] if n.max() > 1 else [])
+    key = np.arange(bands * len(weights), dtype=np.uint64)
+    won = [prob_min_hash(h, w, bands * rows) for w in weights]
     for r in range(rows):
-        key = mix64(key * _C[3] + won[r::rows])
+        key = mix64(key * _C[3] + np.concatenate([x[r::rows] for x in won]))
     return len(h), key.view(np.int64)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    schema = "doc_id long, same long, size int, keys array<long>"
+    schema = "doc_id long, same binary, size int, keys array<long>"
 
     def run(batches):
         for batch in batches:
             got = [sketch(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["doc_id", "same", "size", "keys"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text").mapInArrow(run, schema)
 
 
 def jaccard(a: str, b: str) -> float:
@@ -173,7 +179,7 @@ def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     of at least ``least``; classes are what links connect.  Texts without words (null, empty, blank) are in classes of
     their own; rows that share a doc_id count as one document; rows without a doc_id link with nothing and are kept.
 
-    Equal texts are one document from the start.  In each bucket of a band all members are compared with one of them,
+    Long texts are sketched and compared whole.  Equal texts are one document from the start, by 128 bits of hash.  In each bucket of a band all members are compared with one of them,
     the one that shares most buckets, so a bucket of n costs n - 1 pairs; what that connects, across all bands, is
     one component.  Members of a bucket that are not in the component of that one are then compared with all its
     buckets' members, in blocks whose common shingles are counted by matrix products; only links come out.  In
@@ -197,15 +203,16 @@ def near_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     first = save(components(links, "near-first"), "near-first-found")
 
     of = first.select(F.col("id").alias("rep"), "component")
-    group = members.join(hubs, "key").select("hub", "rep").distinct().join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    group = members.join(hubs, "key").select("hub", "rep", "size").distinct().join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     group = save(group, "near-groups")
     drop_saved(shared, degree, members, hubs, stars)
     # The hub's component is found in its group, since it is a member of its own buckets.
     of_hub = group.where("hub = rep").select("hub", F.col("component").alias("hub_component"))
     named = group
-    group = save(group.join(of_hub, "hub").select("hub", "rep", (F.col("component") != F.col("hub_component")).alias("apart")), "near-apart")
-    sizes = group.groupBy("hub").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("m")).where("m > 0")
-    sizes = save(sizes.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("wholes")), "near-sizes")
+    group = save(group.join(of_hub, "hub").select("hub", "rep", "size", (F.col("component") != F.col("hub_component")).alias("apart")), "near-apart")
+    sizes = group.groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("held"), F.count_if("apart").alias("m"), F.sum(F.when(F.col("apart"), F.col("size"))).alias("held_apart")).where("m > 0")
+    blocks = lambda n, held: F.greatest(F.ceil(F.col(n) / BLOCK), F.least(F.col(n), F.ceil(F.col(held) / BLOCK_SHINGLES))).cast("int")
+    sizes = save(sizes.select("hub", blocks("m", "held_apart").alias("parts"), blocks("n", "held").alias("wholes")), "near-sizes")
     found = first
     if sizes.limit(1).count():
         more = _compare_blocks(group.join(sizes, "hub"), docs, least)
