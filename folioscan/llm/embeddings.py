@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,14 +11,26 @@ from pyspark.sql import functions as F
 
 from .common import components, save
 
-#: Hash tables and signs per table.  A pair at cosine 0.93 agrees in a sign with probability 0.880, in a table's
-#: signs with 0.36, and in at least one table with 0.9992; closer pairs more often.
-TABLES, SIGNS = 16, 8
+#: Signs of a hash table, at least; the vectors of a label for which these do, four times BLOCK to a bucket.  Twice as
+#: many vectors take a sign more, so that buckets keep their size.
+SIGNS, FEW = 8, 1 << 18
+#: A pair at cosine 0.93 agrees in a sign with this probability, and is missed by all tables with MISSED at most.
+AGREE, MISSED = 1 - math.acos(0.93) / math.pi, 0.0009
 #: Vectors of one bucket that are compared as one block; larger buckets are compared block by block.
 BLOCK = 1024
 
 
-def planes(dim: int, tables: int = TABLES, signs: int = SIGNS, seed: int = 9) -> np.ndarray:
+def signs_for(n: int) -> int:
+    """Signs of a table for a label of ``n`` vectors."""
+    return SIGNS + max(0, math.ceil(math.log2(max(1, n) / FEW)))
+
+
+def tables_for(signs: int) -> int:
+    """Tables that leave a pair at cosine 0.93 unmet with MISSED at most: 16 of 8 signs, 52 of 16."""
+    return math.ceil(math.log(MISSED) / math.log(1 - AGREE**signs))
+
+
+def planes(dim: int, tables: int, signs: int, seed: int = 9) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, tables * signs))
 
 
@@ -58,7 +72,7 @@ def _compare(ids, mult, x, keys, table: int, least: float, half: int | None):
     return ids[some], links[some], ids[lab[some]]
 
 
-def near_vectors(rows: DataFrame, least: float = 0.93, tables: int = TABLES, signs: int = SIGNS) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``rows`` (vec_id, embedding, label).
 
     Two vectors are linked if their labels are equal and not null and their cosine, in double precision, is at least
@@ -68,17 +82,24 @@ def near_vectors(rows: DataFrame, least: float = 0.93, tables: int = TABLES, sig
     reach; kept says whether it is the vector's own.  A null vec_id is a vector like others, but its component_id is
     that of the others it reaches or null.
 
-    Each vector goes to one bucket in each of ``tables`` tables, by label and the signs of ``signs`` projections.  In a
-    bucket all cosines are taken as matrix products in blocks of BLOCK vectors; blocks of one bucket lie in different
+    An empty table gives none; other columns are ignored.
+
+    Each vector goes to one bucket in each of several tables, by label and the signs of random projections.  Their
+    number grows with the logarithm of a label's vectors, and the tables with it so that recall at 0.93 stays
+    above 0.999; so buckets do not grow with the table, and work grows little faster than the vectors.  In a bucket all cosines are taken as matrix products in blocks of BLOCK vectors; blocks of one bucket lie in different
     tasks.  A block yields sums of links per vector and one edge to a representative, never pairs.
     """
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("x"), F.col("label").cast("long").alias("label"))
+    exact = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(exact).alias("x"), F.col("label").cast("long").alias("label"))
     fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("x", lambda c: c != 0)
     key = F.when(F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)), F.struct("label", F.size("x").alias("dim"), F.xxhash64("x").alias("a"), F.xxhash64(F.lit(7), "x", F.lit(1)).alias("b")))
     rows = rows.withColumn("key", key)
     reps = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("x").alias("x"))
     reps = save(reps.where("rep is not null").select("key", "rep", "mult", "x"), "embeddings-reps")
-    bucketed = save(_hash(reps.select("rep", "mult", F.col("key.label").alias("label"), F.col("key.dim").alias("dim"), "x"), tables, signs), "embeddings-keys")
+    reps_of = reps.select("rep", "mult", F.col("key.label").alias("label"), F.col("key.dim").alias("dim"), "x")
+    more = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / FEW))).cast("int")
+    signs = save(reps_of.groupBy("label", "dim").agg((SIGNS + more).alias("signs")), "embeddings-signs")
+    bucketed = save(_hash(reps_of.join(signs, ["label", "dim"]), exact), "embeddings-keys")
     sent = bucketed.select("rep", "mult", "label", "dim", "x", "keys", F.posexplode("keys").alias("t", "k"))
     large = save(sent.groupBy("label", "dim", "t", "k").count().where(F.col("count") > BLOCK).select("label", "dim", "t", "k", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "embeddings-large")
     sent = sent.join(large, ["label", "dim", "t", "k"], "left")
@@ -98,15 +119,15 @@ def near_vectors(rows: DataFrame, least: float = 0.93, tables: int = TABLES, sig
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _hash(reps: DataFrame, tables: int, signs: int) -> DataFrame:
+def _hash(reps: DataFrame, exact: str) -> DataFrame:
     def run(frames):
-        powers = 1 << np.arange(signs)
         for pdf in frames:
-            for dim, part in pdf.groupby("dim", sort=False):
-                bits = (_unit(part.x) @ planes(int(dim), tables, signs) > 0).reshape(len(part), tables, signs)
-                yield part.assign(keys=list((bits * powers).sum(axis=2).astype(np.int32)))
+            for (dim, signs), part in pdf.groupby(["dim", "signs"], sort=False):
+                tables, powers = tables_for(int(signs)), 1 << np.arange(int(signs))
+                bits = (_unit(part.x) @ planes(int(dim), tables, int(signs)) > 0).reshape(len(part), tables, int(signs))
+                yield part.drop(columns="signs").assign(keys=list((bits * powers).sum(axis=2)))
 
-    return reps.mapInPandas(run, "rep long, mult long, label long, dim int, x array<float>, keys array<int>")
+    return reps.select("rep", "mult", "label", "dim", "signs", "x").mapInPandas(run, f"rep long, mult long, label long, dim int, x {exact}, keys array<long>")
 
 
 def _blocks(least: float):
