@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -15,35 +18,69 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own_dir()
-    return found.rstrip("/")
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or _own_dir()).rstrip("/")
 
 
 @functools.cache
 def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="folioscan-")
+    path = tempfile.mkdtemp(prefix="folioscan-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
+#: Folders of tables that were saved and not deleted yet.
+_saved: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    The table goes with :func:`drop_saved`, at the end of :func:`scratch`, or else when the driver's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
+    _saved.append(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared one."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
 def drop_saved(*tables: DataFrame | None) -> None:
     """Delete tables that :func:`save` wrote, once what was made of them is saved in turn."""
     for df in tables:
         path = getattr(df, "_saved_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(df.sparkSession, path)
+            if path in _saved:
+                _saved.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are saved inside are deleted at the end: for steps whose result is written there."""
+    first = len(_saved)
+    yield
+    for path in _saved[first:]:
+        delete(spark, path)
+    del _saved[first:]
 
 
 def crc_mod(col: str, mod: int):

@@ -44,13 +44,15 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int = 2, seed: st
     number of words of the text (null text: 0).  Every document of a source expects target / source_size copies; along
     an order by size the prefix sums of these, plus one offset per source drawn from ``seed``, yield a copy at each
     integer crossed.  The prefix sum is rank times expectation, and the rank is exact: rows before the source's size,
-    rows of the size in earlier groups, rows before it in the group; so results do not hang on partitions.  Equal
-    rows are ties and take whichever of their ranks; a source with no words gets target 0 and no copies; an empty
+    rows of the size in earlier groups, rows before it in the group; so results do not hang on partitions.  Rows of
+    one doc_id (or none) go by the hash of their text, and equal ones are ties, which may change places; texts of any
+    length are counted whole; a source with no words gets target 0 and no copies; an empty
     table gives an empty result.
     """
     rows = docs.select(
         (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.lit(None).cast("int")).alias("row"), F.col("doc_id"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key"),
+        F.xxhash64("text").alias("tie"),
     )
     rows = rows.withColumn("part", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, GROUPS_HEX), 16, 10).cast("int"))
     parts = rows.groupBy("key", "size", "part").agg(F.count("*").alias("n"))
@@ -66,7 +68,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), cap: int = 2, seed: st
     placed = inside.join(first.join(targets, "key"), ["key", "size"])
     # The rows are dealt once, by the keys of both this join and the window below.
     full = rows.join(placed, ["key", "size", "part"])
-    rank = F.col("smaller") + F.col("earlier") + F.row_number().over(upto("size", "part").orderBy("doc_id"))
+    rank = F.col("smaller") + F.col("earlier") + F.row_number().over(upto("size", "part").orderBy("doc_id", "tie"))
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     u = _u(seed, F.col("key"))
     full = full.withColumn("rank", rank).withColumn("e", e).withColumn("u", u)

@@ -145,7 +145,7 @@ def test_edits_apart():
 @pytest.mark.parametrize("edits", [1, 2])
 def test_near_lines_share_a_variant(edits):
     def keys(x):
-        return {(kind, base, x[start : start + size], side, v) for kind, base, start, size in lines.pieces(len(x), edits) for side, w in lines.windows(x, kind, base, start, size) for v in lines.neighbourhood(w)}
+        return {(kind, base, x[start : start + size], side, v) for kind, base, start, size in filter(None, lines.pieces(len(x), edits)) for side, w in lines.windows(x, kind, base, start, size) for v in lines.neighbourhood(w)}
 
     rnd, met = random.Random(7), 0
     for _ in range(8_000):
@@ -159,9 +159,17 @@ def test_near_lines_share_a_variant(edits):
 
 @pytest.mark.parametrize("edits", [1, 2])
 def test_pieces_are_alike_in_spark(spark, edits):
-    got = spark.range(1, 1200).select("id", lines._pieces_of(F.col("id").cast("int"), edits).alias("p")).collect()
-    assert all([tuple(p) for p in r.p] == lines.pieces(r.id, edits) for r in got)
-    assert all(size > 0 and 0 <= start <= n - size for n in range(1, 1200) for _, _, start, size in lines.pieces(n, edits))
+    text = "".join(random.Random(3).choices("abc déf", k=1200))
+    df = spark.range(1, 1200).select("id", F.left(F.lit(text), F.col("id").cast("int")).alias("line"))
+    by_key = {}
+    for r in lines._with_keys(df, edits).collect():
+        assert len(r["keys"]) == len(lines.pieces(r.id, edits))
+        for key, p in zip(r["keys"], lines.pieces(r.id, edits), strict=True):
+            assert (key is None) == (p is None)
+            if p:
+                assert p[3] > 0 and 0 <= p[2] <= r.id - p[3]
+                by_key.setdefault((p[0], p[1], text[p[2] : p[2] + p[3]]), set()).add(key)
+    assert all(len(x) == 1 for x in by_key.values()) and len(set().union(*by_key.values())) == len(by_key)
 
 
 @pytest.mark.parametrize(("block", "edits"), [(512, 2), (8, 2), (8, 1)])
@@ -265,6 +273,11 @@ def test_lengths(spark, docs, none):
     assert lengths.length_histogram(none).count() == 0 and lengths.at_limits(lengths.length_histogram(none), limits).first().tokens_kept == 0
 
 
+def letters(t):
+    """Runs of letters in lower case, by characters."""
+    return "".join([c if c.isalpha() else " " for c in (t or "").lower()]).split()
+
+
 def test_language(spark, docs, none):
     rnd = random.Random(4)
     make = lambda syllables: " ".join("".join(rnd.choices(syllables, k=3)) for _ in range(40))
@@ -274,10 +287,72 @@ def test_language(spark, docs, none):
     got = langid.predict(train, model).select("row.*", "lang_pred", "score").collect()
     assert all(r.lang == r.lang_pred and 0.9 < r.score <= 1 for r in got)
     odd = langid.predict(docs, model).select("row.*", "lang_pred", "score").collect()
-    assert len(odd) == len(rows()) and all((r.lang_pred == "und" and r.score == 0) == (not re.search(r"[^\W\d_]", r.text or "")) for r in odd)
+    assert len(odd) == len(rows()) and all((r.lang_pred == "und" and r.score == 0) == (not letters(r.text)) for r in odd)
     assert langid.predict(none, model).count() == 0
     empty = langid.train(none, F.lit(True))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
+    no_lang = langid.train(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
+    assert {(r.lang_pred, r.score) for r in langid.predict(docs, no_lang).collect()} == {("und", 0.0)}
+    signs = spark.createDataFrame([("½",), ("²³ Ⅷ",), ("①",), ("_ 12 ٣",), ("²the³",), ("½ wor",)], "text string")
+    assert [r.lang_pred for r in langid.predict(signs.coalesce(1), model).collect()] == ["und"] * 4 + ["en"] * 2
+
+
+def segmentations(v, w):
+    """Every way to cut a word into pieces."""
+    if not w:
+        yield ()
+    for k in range(1, len(w) + 1):
+        if w[:k] in v.id:
+            for rest in segmentations(v, w[k:]):
+                yield (v.id[w[:k]], *rest)
+
+
+@pytest.mark.parametrize("at_once", [32, 2])
+def test_language_against_all_segmentations(spark, monkeypatch, at_once):
+    monkeypatch.setattr(langid, "LANGS_AT_ONCE", at_once)
+    v = langid.vocabulary(langid.VOCABULARY)
+    table = [(1, "The cat sat.", "en"), (2, "a cat, a hat", "en"), (3, "le chat noir", "fr"), (4, "où été", "fr"), (5, "der hut", "de"), (6, "cat ou hut?", None), (7, None, "en"), (8, "un rat, the été", None)]
+    model = langid.train(spark.createDataFrame(table, "doc_id long, text string, lang string"), F.lit(True))
+    probs = {}
+    for lang in ("de", "en", "fr"):
+        counts = collections.Counter(langid.spell(w) for _, t, x in table if x == lang for w in letters(t))
+        prob = np.full(v.n, 1 / v.n)
+        for _ in range(3):
+            expected = np.full(v.n, 0.01)
+            for w, n in counts.items():
+                every = list(segmentations(v, w))
+                p = np.array([np.prod(prob[list(s)]) for s in every])
+                for s, share in zip(every, n * p / p.sum(), strict=True):
+                    np.add.at(expected, list(s), share)
+            prob = expected / expected.sum()
+        probs[lang] = prob
+    assert all(np.allclose(r.prob, probs[r.lang]) for r in model.collect())
+    probs["mean"] = sum(probs.values()) / 3
+    of = lambda w, lang: sum(np.prod(probs[lang][list(s)]) for s in segmentations(v, langid.spell(w)))
+    for r in langid.predict(spark.createDataFrame(table, "doc_id long, text string, lang string"), model).select("row.*", "lang_pred", "score").collect():
+        logs = {x: sum(math.log(0.9 * of(w, x) + 0.1 * of(w, "mean")) for w in letters(r.text)) for x in ("de", "en", "fr")}
+        best = max(logs, key=logs.get)
+        assert (r.lang_pred, r.score) == (("und", 0.0) if r.text is None else (best, pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()))))
+
+
+def test_languages_without_blanks_are_told_apart(spark):
+    rnd = random.Random(2)
+    make = lambda first: "".join(chr(first + rnd.randrange(60)) for _ in range(200))
+    table = [(i, make(0x4E00 if i % 2 else 0x0E01 if i % 4 else 0x5F00), "zh" if i % 2 else "th" if i % 4 else "ja") for i in range(60)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.train(df, crc_mod("doc_id", 4) != 2)).select("row.*", "lang_pred").collect()
+    assert all(r.lang == r.lang_pred for r in got)
+    assert langid._parts(("é" * 100).encode()) == [("é" * 20).encode()] * 5 and b"".join(langid._parts(b"x" * 95)) == b"x" * 95
+
+
+def test_language_is_fitted_on_a_bounded_number(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("lang"))
+    rows = df.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    n = {r.lang: r["count"] for r in langid._chosen(rows, 1000, 1 << 20).groupBy("lang").count().collect()}
+    assert 900 < n["a"] <= 1000 and n["b"] == 500
+    assert 40 < langid._chosen(rows, 1000, 500).where("lang = 'a'").count() <= 62
+    same = rows.select(F.lit("a").alias("lang"), F.lit("x").alias("text"), F.lit(5).cast("long").alias("h"))
+    assert langid._chosen(same, 1000, 1 << 20).count() == 1
 
 
 def test_forward_sums_all_segmentations():
@@ -289,13 +364,15 @@ def test_forward_sums_all_segmentations():
     def brute(w):
         if not w:
             return np.ones(2)
-        return sum((prob[v.id[w[:k]]] * brute(w[k:]) for k in range(1, min(len(w), langid.PIECE_BYTES) + 1) if w[:k] in v.id), np.zeros(2))
+        return sum((prob[v.id[w[:k]]] * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in v.id), np.zeros(2))
 
     some = [b" the", b" nation", b" \xc3\xa9t", b" zq"]
     assert np.allclose(langid.forward(v, some, prob), [np.log(brute(w)) for w in some])
     long = b" " + b"abcdefgh" * 5
     assert np.allclose(langid._forward_long(v, long[:40], prob), langid.forward(v, [long[:40]], prob)[0])
     assert np.isfinite(langid.forward(v, [b" " + b"q" * 50_000], prob)).all()
+    many = [b" " + bytes(rnd.choice(list(b"aehinorst"), 130).tolist()) for _ in range(110)]
+    assert np.allclose(langid.forward(v, many, prob), [langid._forward_long(v, w, prob) for w in many])
 
 
 def test_warc(spark, tmp_path):
@@ -417,6 +494,40 @@ def test_embedding_recall(spark, monkeypatch):
     assert real > 2000 and 0.97 * real <= found <= real
 
 
+def test_embeddings_in_double_precision(spark):
+    data = [(1, [1e300, 1e300], 1), (2, [1.0, 1.0], 1), (3, [-1e-300, -1e-300], 1), (4, [1.0, 1.0 + 1e-12], 1), (5, [1e300, float("inf")], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1), 5: (0, 5)}
+
+
+def test_signs_and_tables_grow_with_the_vectors(spark, monkeypatch):
+    assert [embeddings.signs_for(n) for n in (1, 1 << 18, 1 << 19, 1 << 30)] == [8, 8, 9, 20] and embeddings.tables_for(8) == 16
+    for signs in range(8, 24):
+        assert (1 - embeddings.AGREE**signs) ** embeddings.tables_for(signs) <= embeddings.MISSED
+    rnd = np.random.default_rng(6)
+    centre = rnd.standard_normal((10, 64))
+    compared = {}
+    for n in (400, 1600):
+        monkeypatch.setattr(embeddings, "FEW", 100)  # as if a label were large
+        x = (centre[np.arange(n) % 10] + rnd.standard_normal((n, 64)) * 0.22).astype(np.float32)
+        y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+        real, found = int((y @ y.T >= 0.93).sum() - n), embeddings.near_vectors(df).agg(F.sum("n_links")).first()[0]
+        assert 0.98 * real <= found <= real
+        compared[n] = embeddings.signs_for(n)
+    assert compared == {400: 10, 1600: 12}
+
+
+def test_repeated_paragraphs_do_not_hide_near_copies(spark):
+    rnd = random.Random(12)
+    table = []
+    for k in range(40):
+        body, passage = prose(140, rnd), prose(60, rnd)
+        table += [(100 + 2 * k, f"{body}\n{passage}"), (101 + 2 * k, f"{body}\n" + f"{passage}\n" * (20, 100)[k % 2])]
+    got = {r.doc_id: r.class_id for r in neardup.near_documents(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert all(got[i] == i - i % 2 for i, _ in table) and brute_classes(table) == got
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows()) and all(r.size == len(words(r.row.text)) and r.taken == r.copies * r.size <= 2 * r.size for r in got)
