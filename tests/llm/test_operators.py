@@ -561,20 +561,79 @@ def test_mixing_comes_near_its_targets(spark):
         assert abs(r.taken - r.target) <= 0.01 * r.target
 
 
+def plain_mix(table):
+    """Copies of each row (doc_id, text, source): systematic sampling along (size, group, doc_id) within a source."""
+    size = {k: len(words(r[1])) for k, r in enumerate(table)}
+    names = sorted({r[2] for r in table if r[2] is not None}) + ([None] if any(r[2] is None for r in table) else [])
+    total = {s: sum(size[k] for k, r in enumerate(table) if r[2] == s) for s in names}
+    weight, target = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {}
+    while left := [s for s in names if s not in target]:
+        level = (1.5 * sum(total.values()) - sum(target.values())) / sum(weight[s] for s in left)
+        over = [s for s in left if level * weight[s] > 2 * total[s]]
+        target |= {s: 2 * total[s] for s in over} or {s: level * weight[s] for s in left}
+    md5, copies = (lambda x, n: int(hashlib.md5(x.encode()).hexdigest()[:n], 16)), {}
+    for s in names:
+        e, u = (target[s] / total[s] if total[s] else 0), md5("mix:" + ("n" if s is None else f"s{s}"), 8) / 2**32
+        key = lambda k: (size[k], md5("" if table[k][0] is None else str(table[k][0]), 3), table[k][0] or -1)
+        for rank, k in enumerate(sorted((k for k, r in enumerate(table) if r[2] == s), key=key), 1):
+            copies[k] = int(min(math.floor(e * rank + u) - math.floor(e * (rank - 1) + u), math.ceil(e)))
+    return copies
+
+
+def plain_pipeline(spark, table):
+    """What the pipeline leaves of rows (doc_id, text, lang, source, n_chars), each step in plain Python."""
+    from tokenizers import Tokenizer
+
+    v = langid.vocabulary(langid.VOCABULARY)
+    df = spark.createDataFrame([r[:5] for r in table], "doc_id long, text string, lang string, source string, n_chars long")
+    model = {r.lang: np.array(r.prob) for r in langid.train(df, crc_mod("doc_id", 4) != 2).collect()}
+    prob = np.array([*model.values(), sum(model.values()) / len(model)]).T if model else None
+    left = []
+    for r in table:
+        if model and (spelt := [langid.spell(w) for w in letters(r[1])]):
+            p = np.exp(langid.forward(v, spelt, prob))
+            logs = np.log(0.9 * p[:, :-1] + 0.1 * p[:, -1:]).sum(axis=0)
+            if 1 / np.exp(logs - logs.max()).sum() >= 0.5:
+                left.append(r)
+    verdict = near_lines(sorted({r[:2] for r in left if r[0] is not None}))
+    rows = []
+    for r in left:
+        kept = [x for i, x in enumerate(r[1].split("\n")) if r[0] is None or verdict.get((r[0], i), (True,))[0]]
+        if len(kept) == r[1].count("\n") + 1 or words("\n".join(kept)):
+            rows.append((r[0], "\n".join(kept), r[3]))
+    classes = brute_classes([r[:2] for r in rows if r[0] is not None])
+    rows = [*{r[0]: r for r in rows if r[0] is not None and classes[r[0]] == r[0]}.values(), *(r for r in rows if r[0] is None)]
+    copies, t = plain_mix(rows), Tokenizer.from_file(bpe.TOKENIZER)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = collections.Counter()
+    for k, (doc_id, text, _) in enumerate(rows):
+        ids = t.encode(text, add_special_tokens=False).ids
+        want[(doc_id, len(ids), sha(",".join(map(str, ids))), sha(text))] += copies[k]
+    return +want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    df = spark.createDataFrame([r[:5] for r in rows()], "doc_id long, text string, lang string, source string, n_chars long")
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    at = df
+    rnd = random.Random(21)
+    more = [(100 + k, prose(rnd.randint(30, 60), rnd), "en", "abc"[k % 3], 1, 2, "r", "k", 3, 4, 5) for k in range(40)]
+    near = [(200 + k, r[1] + " tail", "en", "a", 1, 2, "r", "k", 3, 4, 5) for k, r in enumerate(more[:5])]
+    table = [*[r for r in rows() if r[1] is None or len(r[1]) < 30_000], *more, *near]
+    spark.createDataFrame(table, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, str(tmp_path))
-        assert at.columns == df.columns, name
-        at.write.parquet(str(tmp_path / name))
-        at = spark.read.parquet(str(tmp_path / name))
-    left = {r.doc_id for r in at.collect()}
-    assert 4 not in left and 5 not in left and 1 not in left and 3 not in left
-    kept = spark.read.parquet(str(tmp_path / "near_duplicates"))
-    assert kept.count() == kept.select("doc_id").distinct().count()
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and {r.doc_id for r in out.collect()} == left
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    got, want = collections.Counter(map(tuple, out.collect())), plain_pipeline(spark, table)
+    assert got == want and len(want) > 30 and max(want.values()) > 1
+
+
+@pytest.mark.parametrize("case", ["empty", "no language", "no doc_id"])
+def test_pipeline_on_odd_tables(spark, tmp_path, case):
+    import corpus_pipeline
+
+    table = [] if case == "empty" else [(None if case == "no doc_id" else k, prose(20 + k), "en" if case == "no doc_id" else None, None, 1, 2, "r", "k", 3, 4, 5) for k in range(6)]
+    spark.createDataFrame(table, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    left = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in left] == ([] if case != "no doc_id" else [None] * len(left)) and bool(left) == (case == "no doc_id")
