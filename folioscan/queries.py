@@ -218,5 +218,50 @@ p AS (SELECT doc_id, seq // 21 + 1 AS page, seq, str, (seq % 21) % 7 * 10.0 + se
 g AS (SELECT *, lag(x) OVER v AS px, lag(y) OVER v AS py, lag(str) OVER v AS ps FROM p WINDOW v AS (PARTITION BY doc_id, page ORDER BY seq))
 SELECT doc_id, page, string_agg(CASE WHEN ps IS NULL THEN '' WHEN abs(y - py) >= 2 THEN chr(10) WHEN ps <> '' AND x - (px + 9.5) > 1 THEN ' ' ELSE '' END || str, '' ORDER BY seq) AS text FROM g GROUP BY doc_id, page"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (q_rule_hits, q_findings, q_rule_severity, q_fixed, q_metrics, q_cites, q_cross_check, q_title_similarity, q_identifiers, q_report_summary, q_report_markdown, q_crc32, q_bib_entries, q_duplicate_keys, q_pdf_lines)}
-ORACLES: dict[str, str] = {"q_rule_hits": _rule_hits_sql(), "q_metrics": _METRICS_SQL, "q_cites": _CITES_SQL + "SELECT doc_id, key FROM used", "q_cross_check": _CHECK_SQL, "q_title_similarity": _TITLE_SQL, "q_identifiers": _IDS_SQL, "q_bib_entries": _BIB_SQL, "q_duplicate_keys": "SELECT doc_id, 'k' || doc_id AS key, 2::BIGINT AS n FROM documents WHERE doc_id % 3 = 0", "q_pdf_lines": _PDF_SQL}
+
+def _guarded(spark, sf_dir):
+    return fixtures.guarded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def q_guard_findings(spark, sf_dir):
+    """Every column of the findings in the openings of documents, whose guards, sentences and places are all different."""
+    docs = _guarded(spark, sf_dir)
+    found = S.scan(docs).join(docs.select("doc_id", F.length("opening").alias("n")), "doc_id").where("end > start and end <= n")
+    return found.select("doc_id", *[x.split(" ")[0] for x in S.FINDING.split(", ") if not x.startswith("id ")])
+
+
+_GUARD_FINDINGS_SQL = fixtures.GUARDED_SQL + """, p AS (SELECT g.doc_id, e.*, g.opening, strpos(g.opening, e.match) - 1 + e.skip AS start, strpos(g.opening, e.sentence) - 1 AS ss FROM g JOIN e USING (k))
+SELECT doc_id, rule_id, category, severity, fix, converted, match, start::INT AS start, (start + length(match) - skip)::INT AS "end", ss::INT AS sentence_start, (ss + length(sentence))::INT AS sentence_end,
+ (1 + length(opening[:start]) - length(replace(opening[:start], chr(10), '')))::INT AS line, sentence AS context, review_reason IS NOT NULL AS quoted, review_reason, in_comment, selected FROM p"""
+
+
+def q_guard_severity(spark, sf_dir):
+    """Findings in the openings per rule, severity and category, and how many are selected."""
+    f = q_guard_findings(spark, sf_dir)
+    return f.groupBy("rule_id", "severity", "category").agg(F.count("*").alias("n"), F.count_if("selected").alias("selected"))
+
+
+_GUARD_SEVERITY_SQL = fixtures.GUARDED_SQL + "SELECT rule_id, severity, category, count(*) AS n, count(*) FILTER (selected) AS selected FROM g JOIN e USING (k) GROUP BY ALL"
+
+
+def q_guard_fixes(spark, sf_dir):
+    """Whole mended texts by hash and length."""
+    return S.fixed(_guarded(spark, sf_dir)).select("doc_id", F.md5(F.col("fixed").cast("binary")).alias("fixed_md5"), F.length("fixed").cast("long").alias("fixed_chars"))
+
+
+_GUARD_FIXES_SQL = fixtures.GUARDED_SQL + r""", m AS (SELECT doc_id, mended || chr(10) || chr(10) || CASE WHEN filetype = 'tex' THEN regexp_replace(text, '\*\*([^*\n]{1,120})\*\*', '\\textbf{\1}', 'g') ELSE text END AS t FROM g),
+f AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g') AS t FROM m) SELECT doc_id, md5(t) AS fixed_md5, length(t)::BIGINT AS fixed_chars FROM f"""
+
+
+def q_guard_changes(spark, sf_dir):
+    """The log of what mending changes in the openings."""
+    docs = _guarded(spark, sf_dir)
+    last = F.regexp_count("opening", F.lit("\n")) + 1
+    return S.changes(docs).join(docs.select("doc_id", last.alias("last")), "doc_id").where("line <= last").drop("last")
+
+
+_GUARD_CHANGES_SQL = fixtures.GUARDED_SQL + """SELECT doc_id, (1 + length(opening[:strpos(opening, match) - 1]) - length(replace(opening[:strpos(opening, match) - 1], chr(10), '')))::INT AS line,
+ split_part(log, '|', 1) AS action, split_part(log, '|', 2) AS detail FROM g JOIN e USING (k) WHERE log IS NOT NULL"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (q_rule_hits, q_findings, q_rule_severity, q_fixed, q_metrics, q_cites, q_cross_check, q_title_similarity, q_identifiers, q_report_summary, q_report_markdown, q_crc32, q_bib_entries, q_duplicate_keys, q_pdf_lines, q_guard_findings, q_guard_severity, q_guard_fixes, q_guard_changes)}
+ORACLES: dict[str, str] = {"q_rule_hits": _rule_hits_sql(), "q_metrics": _METRICS_SQL, "q_cites": _CITES_SQL + "SELECT doc_id, key FROM used", "q_cross_check": _CHECK_SQL, "q_title_similarity": _TITLE_SQL, "q_identifiers": _IDS_SQL, "q_bib_entries": _BIB_SQL, "q_duplicate_keys": "SELECT doc_id, 'k' || doc_id AS key, 2::BIGINT AS n FROM documents WHERE doc_id % 3 = 0", "q_pdf_lines": _PDF_SQL, "q_guard_findings": _GUARD_FINDINGS_SQL, "q_guard_severity": _GUARD_SEVERITY_SQL, "q_guard_fixes": _GUARD_FIXES_SQL, "q_guard_changes": _GUARD_CHANGES_SQL}
