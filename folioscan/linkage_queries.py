@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import text as X
 from .operators import citation_fixes as fixes
 from .operators import linkage, refs, report, scan, tex
 from .sources import archives, fixtures
@@ -172,5 +173,66 @@ def q_archives(spark, sf_dir):
     return archives.archives(texts).select("doc_id", F.octet_length("archive").cast("long").alias("bytes"), F.crc32("archive").alias("crc32"))
 
 
-QUERIES = {f.__name__: f for f in (q_entry_verdict, q_verdict_summary, q_id_links, q_references, q_reference_verdict, q_guess_title, q_bibitems, q_bib_resources, q_fixed_bib, q_fixed_cites, q_changes, q_full_report, q_archives)}
-ORACLES = {"q_id_links": _ID_LINKS_SQL, "q_references": _REFS_SQL, "q_bibitems": _ITEMS_SQL, "q_bib_resources": _RESOURCES_SQL, "q_fixed_bib": _FIXED_BIB_SQL, "q_fixed_cites": _FIXED_CITES_SQL}
+
+_LETTERS = ("0123456789", "ghijklmnop")
+
+
+def _named_works(spark, sf_dir, source):
+    """A record per document whose title and authors are its own: words made of its doc_id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null").select("doc_id").distinct()
+    letters = lambda salt: F.translate(F.md5(F.concat(F.lit(salt), F.col("doc_id").cast("string")).cast("binary")), *_LETTERS)
+    x = docs.select("doc_id", letters("t").alias("t"), letters("a").alias("a"), letters("u").alias("u"))
+    title = F.format_string("Study %s about %s with %s", F.substring("t", 1, 8), F.substring("t", 9, 8), F.substring("t", 17, 8))
+    k = F.col("doc_id")
+    return x.select("doc_id", k.alias("record"), source.alias("source"), title.alias("title"), F.array(F.concat(F.lit("Ann "), F.substring("a", 1, 7)), F.concat(F.lit("Bob "), F.substring("a", 8, 7))).alias("authors"), (1990 + k % 30).cast("int").alias("year"), F.concat(F.lit("10.1000/"), k.cast("string")).alias("doi"), F.lit(None).cast("string").alias("arxiv"), F.lit("").alias("venue"), F.format_string("Unheard %s matters %s", F.substring("u", 1, 9), F.substring("u", 10, 9)).alias("other"))
+
+
+def q_verdict_cases(spark, sf_dir):
+    """Verdicts and decisions on entries whose fault is known, by doc_id, against records with titles of their own."""
+    k, case = F.col("doc_id"), F.col("doc_id") % 10
+    works = _named_works(spark, sf_dir, F.element_at(F.array(*map(F.lit, linkage.SOURCES)), (k % 4 + 1).cast("int")))
+    own_doi = F.when((k % 4 != 3) & case.isin(0, 1, 2), F.col("doi"))
+    e = works.select(
+        k.alias("id"), F.when(case.isin(6, 8), "book").otherwise("article").alias("type"), F.when(case.isin(4, 5, 6, 9), F.col("other")).when(case == 7, "").otherwise(F.col("title")).alias("title"),
+        F.when(case.isin(3, 8), "Nobody, Ann and None, Bob").otherwise(F.array_join("authors", " and ")).alias("author"), (F.col("year") + F.when(case == 1, 1).when(case == 2, 4).otherwise(0)).cast("string").alias("year"),
+        F.when(case == 9, F.concat(F.lit("10.9999/"), k.cast("string"))).otherwise(own_doi).alias("doi"), F.lit(None).cast("string").alias("arxiv"),
+    )
+    v = linkage.default_decisions(linkage.verify_entries(e, works))
+    raw = F.array_join(F.transform("corrections", lambda c: F.concat_ws(":", c["field"], c["current"], c["correct"])), ",")
+    return v.select("id", "status", "action", raw.alias("certain"), F.col("matched").isNull().alias("unmatched"), F.col("matched.source").alias("source"), F.col("matched.title").alias("title"))
+
+
+_NAMED_SQL = """WITH d AS (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id IS NOT NULL), w AS (SELECT k, translate(md5('t' || k), '0123456789', 'ghijklmnop') AS t, translate(md5('a' || k), '0123456789', 'ghijklmnop') AS a FROM d),
+r AS (SELECT k, 'Study ' || t[1:8] || ' about ' || t[9:16] || ' with ' || t[17:24] AS title, 1990 + k % 30 AS year, (['Semantic Scholar', 'CrossRef', 'OpenAlex', 'DBLP'])[k % 4 + 1] AS source FROM w) """
+#: A DOI that neither registry resolves (those of records in the first source) is to be corrected, even to itself.
+_VERDICT_CASES_SQL = _NAMED_SQL + """, c AS (SELECT r.*, r.k % 10 AS fault, r.k % 4 = 0 AND r.k % 10 IN (0, 1, 2) AS dead, 'Ann ' || a[1:7] || ' and Bob ' || a[8:14] AS names FROM r JOIN w USING (k)),
+s AS (SELECT *, CASE WHEN dead OR fault = 2 THEN 'fixable' WHEN fault IN (0, 1) THEN 'verified' WHEN fault IN (3, 9) THEN 'suspect' WHEN fault IN (6, 7, 8) THEN 'unverifiable' ELSE 'notfound' END AS status FROM c)
+SELECT k AS id, status, CASE status WHEN 'notfound' THEN 'remove' WHEN 'fixable' THEN 'fix' ELSE 'keep' END AS action,
+ concat_ws(',', CASE WHEN fault = 2 THEN 'year:' || (year + 4) || ':' || year WHEN fault = 3 THEN 'author:Nobody, Ann and None, Bob:' || names END, CASE WHEN dead THEN 'doi:10.1000/' || k || ':10.1000/' || k END) AS certain,
+ fault > 3 AS unmatched, CASE WHEN fault <= 3 THEN source END AS source, CASE WHEN fault <= 3 THEN title END AS title FROM s"""
+
+
+def q_reference_cases(spark, sf_dir):
+    """Verdicts on free references whose fault is known, by doc_id: none, another year, a made-up work, hardly any text."""
+    k, case = F.col("doc_id"), F.col("doc_id") % 4
+    works = _named_works(spark, sf_dir, F.lit(linkage.S2))
+    name = lambda i: F.substring(F.col("authors")[i], 5, 7)
+    text = F.format_string("A. %s and B. %s. %s. Journal of Things, %d.", name(0), name(1), F.when(case == 2, F.col("other")).otherwise(F.col("title")), F.col("year") + F.when(case == 1, 3).otherwise(0))
+    v = linkage.verify_references(works.select(k.alias("id"), F.when(case == 3, "Too short.").otherwise(text).alias("text"), F.lit(None).cast("string").alias("raw")), works)
+    return v.select("id", "status", F.col("matched.title").alias("title"), "note")
+
+
+_REFERENCE_CASES_SQL = _NAMED_SQL + """SELECT k AS id, (['verified', 'suspect', 'notfound', 'unverifiable'])[k % 4 + 1] AS status, CASE WHEN k % 4 < 2 THEN title END AS title, CASE k % 4 WHEN 0 THEN 'Semantic Scholar' WHEN 1 THEN 'the record is of ' || year ELSE '' END AS note FROM r"""
+
+
+def q_author_names(spark, sf_dir):
+    """Last names of author fields with braces, marks and ligatures."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    field = F.concat(F.lit("{Barnes and {No}ble} and Nguy\u1ec5n, A. and Ada "), F.format_string("a%dz", F.col("doc_id")), F.lit(" and Gri\ufb00in, Z and others"))
+    return docs.select("doc_id", F.array_join(X.author_last_names(field), ",").alias("names"), X.normalize_title(F.lit("{\\em Na\u00efve} \ufb01elds of \u01ceB\u0107")).alias("title"))
+
+
+_AUTHOR_NAMES_SQL = "SELECT doc_id, 'noble,nguyen,az,griffin' AS names, 'naive fields of abc' AS title FROM documents WHERE doc_id IS NOT NULL"
+
+QUERIES = {f.__name__: f for f in (q_entry_verdict, q_verdict_summary, q_id_links, q_references, q_reference_verdict, q_guess_title, q_bibitems, q_bib_resources, q_fixed_bib, q_fixed_cites, q_changes, q_full_report, q_archives, q_verdict_cases, q_reference_cases, q_author_names)}
+ORACLES = {"q_id_links": _ID_LINKS_SQL, "q_references": _REFS_SQL, "q_bibitems": _ITEMS_SQL, "q_bib_resources": _RESOURCES_SQL, "q_fixed_bib": _FIXED_BIB_SQL, "q_fixed_cites": _FIXED_CITES_SQL, "q_verdict_cases": _VERDICT_CASES_SQL, "q_reference_cases": _REFERENCE_CASES_SQL, "q_author_names": _AUTHOR_NAMES_SQL}

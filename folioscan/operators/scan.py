@@ -27,12 +27,16 @@ DOCUMENT_CONTEXT = "(document-level metric)"
 LOGGED, SHOWN = {R.REMOVE_SENTENCE: "removed sentence", R.REMOVE_MATCH: "removed", R.CONVERT: "converted"}, 110
 
 
-@functools.cache
-def _compiled():
+def _compiled(rules: tuple[R.Rule, ...] | None = None):
+    return _patterns(tuple(R.RULES) if rules is None else rules)
+
+
+@functools.lru_cache(maxsize=4)
+def _patterns(rules: tuple[R.Rule, ...]):
     alternatives = lambda names: "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
     environment = lambda names: re.compile(rf"\\begin\{{({alternatives(names)})\}}")
     return {
-        "rules": [(r, to_python(r.pattern, r.flags), anchors(r.pattern, r.flags)) for r in R.RULES],
+        "rules": [(r, to_python(r.pattern, r.flags), anchors(r.pattern, r.flags)) for r in rules],
         "skip": environment(R.SKIPPED_ENVIRONMENTS),
         "quote": environment(R.QUOTED_ENVIRONMENTS),
         "verb": re.compile(r"\\verb\*?(?![a-zA-Z])([^\n\r\u2028\u2029])"),
@@ -51,8 +55,8 @@ def _compiled():
 class Text:
     """One document with what its guards need, each worked out once."""
 
-    def __init__(self, text: str, filetype: str):
-        self.text, self.tex, self.c = text, filetype == "tex", _compiled()
+    def __init__(self, text: str, filetype: str, rules: tuple[R.Rule, ...] | None = None):
+        self.text, self.tex, self.c = text, filetype == "tex", _compiled(rules)
         self.breaks = [i for i, ch in enumerate(text) if ch == "\n"] if "\n" in text else []
 
     def line(self, at: int) -> int:
@@ -162,9 +166,9 @@ def densities(text: str, filetype: str) -> dict[str, int]:
     return {"words": len(c["word"].findall(text)), "em_dashes": dashes, "semicolons": text.count(";"), "sentences": len(sentences), "transitions": sum(bool(c["transition"].match(s)) for s in sentences)}
 
 
-def findings(text: str, filetype: str) -> list[dict]:
-    """All findings of one text, by start; ids number them by rule first."""
-    doc, out = Text(text, filetype), []
+def findings(text: str, filetype: str, rules: tuple[R.Rule, ...] | None = None) -> list[dict]:
+    """All findings of one text, by start; ids number them by rule first.  ``rules``: those registered, unless given."""
+    doc, out = Text(text, filetype, rules), []
     within = lambda ranges, at: any(a <= at < z for a, z in ranges)
     low = text.lower()
     for rule, pattern, need in doc.c["rules"]:
@@ -193,7 +197,7 @@ def findings(text: str, filetype: str) -> list[dict]:
             severity = "medium" if quoted and rule.severity == "high" else rule.severity
             safe = severity == "high" or (severity == "medium" and rule.fix != R.FLAG and rule.preselect)
             out.append({
-                "rule_id": rule.id, "category": rule.category, "severity": severity, "fix": R.FLAG if quoted else rule.fix, "converted": convert(rule.id, m[0]) if rule.fix == R.CONVERT else None,
+                "rule_id": rule.id, "category": rule.category, "severity": severity, "fix": R.FLAG if quoted else rule.fix, "converted": (rule.becomes(m[0]) if rule.becomes else convert(rule.id, m[0])) if rule.fix == R.CONVERT else None,
                 "match": m[0], "start": start, "end": end, "sentence_start": ss, "sentence_end": se, "line": doc.line(start), "context": text[ss:se][:300], "quoted": quoted, "review_reason": reason,
                 "in_comment": doc.commented(start), "selected": not quoted and safe,
             })
@@ -242,12 +246,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """A row per finding: doc_id and the columns of FINDING.  ``docs``: doc_id, text, filetype.  Null texts have none."""
     names = [x.split(" ")[0] for x in FINDING.split(", ")]
     types = [_TYPES[x.split(" ")[1]] for x in FINDING.split(", ")]
+    rules = tuple(R.RULES)  # workers import the module afresh and know of no others
 
     def run(batches):
         for batch in batches:
             ids, rows = [], []
             for doc_id, text, filetype in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = findings(text, filetype) if text else []
+                got = findings(text, filetype, rules) if text else []
                 ids += [doc_id] * len(got)
                 rows += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True))], names=["doc_id", *names])
@@ -264,10 +269,10 @@ def _comment(text: str, at: int) -> tuple[int, int]:
     return (begin, min(stop + 1, len(text))) if sign == begin else (sign, stop)
 
 
-def mend(text: str, filetype: str) -> tuple[str, list[dict]]:
+def mend(text: str, filetype: str, rules: tuple[R.Rule, ...] | None = None) -> tuple[str, list[dict]]:
     """The text with all selected findings mended, and a log: sentences or matches removed, or matches converted."""
     edits, log = [], []
-    for f in findings(text, filetype):
+    for f in findings(text, filetype, rules):
         if not f["selected"]:
             continue
         start, end, what = f["start"], f["end"], f["match"]
@@ -289,17 +294,18 @@ def mend(text: str, filetype: str) -> tuple[str, list[dict]]:
     return collapse_blank(apply_edits(text, edits)), log
 
 
-def fix(text: str, filetype: str) -> str:
+def fix(text: str, filetype: str, rules: tuple[R.Rule, ...] | None = None) -> str:
     """The text with all selected findings mended."""
-    return mend(text, filetype)[0]
+    return mend(text, filetype, rules)[0]
 
 
 def fixed(docs: DataFrame) -> DataFrame:
     """doc_id, fixed: every text with its selected findings mended (null stays null)."""
+    rules = tuple(R.RULES)
 
     def run(batches):
         for batch in batches:
-            new = [None if t is None else fix(t, k) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            new = [None if t is None else fix(t, k, rules) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["doc_id", "fixed"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text", "filetype").mapInArrow(run, "doc_id long, fixed string")
@@ -307,5 +313,6 @@ def fixed(docs: DataFrame) -> DataFrame:
 
 def changes(docs: DataFrame) -> DataFrame:
     """doc_id, line, action, detail: a row per change that mending makes."""
-    log = lambda text, filetype: [(c["line"], c["action"], c["detail"]) for c in mend(text, filetype)[1]]
+    rules = tuple(R.RULES)
+    log = lambda text, filetype: [(c["line"], c["action"], c["detail"]) for c in mend(text, filetype, rules)[1]]
     return rows_of(docs, ["text", "filetype"], log, [("line", "int", pa.int32()), ("action", "string", pa.string()), ("detail", "string", pa.string())])

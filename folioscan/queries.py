@@ -73,10 +73,10 @@ def q_fixed(spark, sf_dir):
 def q_metrics(spark, sf_dir):
     """Counts behind the densities, and which densities are high."""
     docs = corpus(spark, sf_dir)
-    sentences = F.filter(F.transform(F.split("text", r"[.!?][ \t-\r]+", -1), lambda s: F.regexp_replace(s, r"^[ \t-\r]+|[ \t-\r]+$", "")), lambda s: F.length(s) > S.SENTENCE_CHARS)
-    opener = r"(?i)^(?:" + "|".join(t.replace(" ", r"[ \t-\r]+") for t in S.R.TRANSITIONS) + r")(?![A-Za-z0-9_])"
+    sentences = F.filter(F.transform(F.split("text", to_java(r"[.!?]\s+", ""), -1), lambda s: F.regexp_replace(s, to_java(r"^\s+|\s+$", ""), "")), lambda s: F.length(s) > S.SENTENCE_CHARS)
+    opener = to_java("^(?:" + "|".join(S.R.TRANSITIONS) + ")", "i") + "(?![A-Za-z0-9_])"
     dashes = F.regexp_count("text", F.lit("\u2014")) + F.when(F.col("filetype") == "tex", F.regexp_count("text", F.lit("(?<!-)---(?!-)"))).otherwise(0)
-    x = docs.select("doc_id", F.regexp_count("text", F.lit(r"[^ \t-\r]+")).alias("words"), dashes.alias("em_dashes"), F.regexp_count("text", F.lit(";")).alias("semicolons"), sentences.alias("s"))
+    x = docs.select("doc_id", F.regexp_count("text", F.lit(to_java(r"[^\s]+", ""))).alias("words"), dashes.alias("em_dashes"), F.regexp_count("text", F.lit(";")).alias("semicolons"), sentences.alias("s"))
     x = x.select("doc_id", "words", "em_dashes", "semicolons", F.size("s").alias("sentences"), F.size(F.filter("s", lambda s: s.rlike(opener))).alias("transitions"))
     long = F.col("words") > S.MANY_WORDS
     return x.select(
@@ -87,9 +87,10 @@ def q_metrics(spark, sf_dir):
     )
 
 
-_OPENERS = "|".join(t.replace(" ", r"[ \t-\r]+") for t in S.R.TRANSITIONS)
-_METRICS_SQL = _DUCK + rf""", s AS (SELECT doc_id, filetype, text, list_filter(list_transform(string_split_regex(text, '[.!?][ \t-\r]+'), lambda x: regexp_replace(x, '^[ \t-\r]+|[ \t-\r]+$', '', 'g')), lambda x: length(x) > 20) AS s FROM corpus),
-m AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \t-\r]+'))::BIGINT AS words,
+_OPENERS = to_re2("|".join(S.R.TRANSITIONS), "")
+_BLANK, _NOT_BLANK = to_re2(r"[\s]", ""), to_re2(r"[^\s]", "")
+_METRICS_SQL = _DUCK + rf""", s AS (SELECT doc_id, filetype, text, list_filter(list_transform(string_split_regex(text, '[.!?]{_BLANK}+'), lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: length(x) > 20) AS s FROM corpus),
+m AS (SELECT doc_id, len(regexp_extract_all(text, '{_NOT_BLANK}+'))::BIGINT AS words,
  (length(text) - length(replace(text, '—', '')) + CASE WHEN filetype = 'tex' THEN len(list_filter(regexp_extract_all(text, '-+'), lambda x: length(x) = 3)) ELSE 0 END)::BIGINT AS em_dashes,
  (length(text) - length(replace(text, ';', '')))::BIGINT AS semicolons, len(s)::BIGINT AS sentences, len(list_filter(s, lambda x: regexp_matches(x, '(?i)^(?:{_OPENERS})\b')))::BIGINT AS transitions FROM s)
 SELECT *, words > 200 AND em_dashes * 1000 > 6 * words AS many_em_dashes, words > 200 AND semicolons >= 8 AND semicolons * 1000 > 20 * words AS many_semicolons,
@@ -136,7 +137,7 @@ def q_title_similarity(spark, sf_dir):
 
 
 def _plain_sql(c: str) -> str:
-    return f"translate(lower({c}), '{X.MARKED}', '{X.PLAIN}')"
+    return f"strip_accents(lower({c}))"
 
 
 _TITLE_SQL = rf"""WITH w AS (SELECT doc_id, string_split_regex(text, '[ \t-\r]+') AS w FROM documents WHERE doc_id IS NOT NULL),

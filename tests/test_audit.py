@@ -120,11 +120,14 @@ def test_functions(spark):
     assert one(X.clean_doi(F.lit("https://doi.org/10.1000/a.b)."))) == "10.1000/a.b" and one(X.clean_doi(F.lit("11.1/a"))) is None
 
 
-def test_new_rules_can_be_registered(monkeypatch):
-    monkeypatch.setattr(S.R, "RULES", [*RULES, Rule("own", "style", "low", r"\bfoo bar\b", "i", "flag")])
-    S._compiled.cache_clear()
+def test_new_rules_can_be_registered(spark, monkeypatch):
+    monkeypatch.setattr(S.R, "RULES", list(RULES))
+    S.R.register_rule(Rule("own", "style", "low", r"\bfoo bar\b", "i", "flag"))
+    S.R.register_rule(Rule("caps", "style", "medium", r"\bshout\b", "", "convert", becomes=str.upper))
     assert [f["rule_id"] for f in S.findings("a Foo\nbar", "txt")] == ["own"]
-    S._compiled.cache_clear()
+    df = spark.createDataFrame([(1, "a Foo\nbar to shout"), (2, None)], "doc_id long, text string").withColumn("filetype", F.lit("txt"))
+    assert [(r.rule_id, r.converted) for r in S.scan(df).collect()] == [("own", None), ("caps", "SHOUT")]
+    assert [r.fixed for r in S.fixed(df).collect()] == ["a Foo\nbar to SHOUT", None] and [r.detail for r in S.changes(df).collect()] == ["caps: shout \u2192 SHOUT"]
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLES | L.ORACLES))
