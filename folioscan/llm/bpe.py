@@ -11,6 +11,8 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import claim
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Fixed value: how this family of tokenizers splits a text before encoding.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -198,6 +200,7 @@ def encode_documents(docs: DataFrame, path: str = TOKENIZER, ids: bool = True) -
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def run(batches):
+        claim("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for batch in batches:
             keys, out = batch.column(0), {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
@@ -220,6 +223,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens: encoded lengths only (null text: 0)."""
 
     def run(batches):
+        claim("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.count(t.as_py()) for t in batch.column(1)], pa.int64())], names=["doc_id", "n_tokens"])

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +91,28 @@ def crc_mod(col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+#: Whose tables this worker holds, and what frees them.
+_held: tuple[str, Callable[[], None] | None] = ("", None)
+
+
+def claim(owner: str, free: Callable[[], None] | None = None) -> None:
+    """To be called by what runs in a worker: frees the tables that another operator left there.
+
+    Workers serve stage after stage and keep what modules hold, so that vocabularies and word tables are built once;
+    without this, those of all stages that ran so far would add up.
+    """
+    global _held
+    before, drop = _held
+    if before == owner:
+        return
+    _held = (owner, free)
+    if drop is not None:
+        drop()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

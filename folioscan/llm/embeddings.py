@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import claim, components, save
 
 #: Signs of a hash table, at least; the vectors of a label for which these do, four times BLOCK to a bucket.  Twice as
 #: many vectors take a sign more, so that buckets keep their size.
@@ -121,6 +121,7 @@ def near_vectors(rows: DataFrame, least: float = 0.93) -> DataFrame:
 
 def _hash(reps: DataFrame, exact: str) -> DataFrame:
     def run(frames):
+        claim("embeddings")
         for pdf in frames:
             for (dim, signs), part in pdf.groupby(["dim", "signs"], sort=False):
                 tables, powers = tables_for(int(signs)), 1 << np.arange(int(signs))
@@ -144,6 +145,7 @@ def _blocks(least: float):
         return _compare(part.rep.to_numpy(), part.mult.to_numpy(), _unit(part.x), np.stack(part["keys"].to_numpy()), t, least, half)
 
     def run(frames):
+        claim("embeddings")
         held = None
         for pdf in frames:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)

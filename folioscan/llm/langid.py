@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import claim, save
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: At most so many documents and bytes of a language are fitted on, those with the smallest hashes; a documented bound.
@@ -233,6 +233,7 @@ def train(docs: DataFrame, learn: Column, path: str = VOCABULARY, fit_docs: int
     rows = rows.where("learn and lang is not null and text is not null").drop("learn")
 
     def count(batches):
+        claim("langid", _free)
         for batch in batches:
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -241,6 +242,7 @@ def train(docs: DataFrame, learn: Column, path: str = VOCABULARY, fit_docs: int
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("langid", _free)
         prob = fit(vocabulary(path), {spell(w): n for w, n in zip(pdf.word, pdf.n, strict=True)})
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "prob": [prob]})
 
@@ -296,8 +298,15 @@ def _scorer(shared, path: str):
     return score
 
 
+def _free() -> None:
+    global _known
+    _known = (None, {}, None)
+    vocabulary.cache_clear()
+
+
 def _score(text: pa.Array, shared, path: str) -> pa.Array:
     global _known
+    claim("langid", _free)
     v, (names, prob) = vocabulary(path), shared.value
     if _known[0] is not names:
         _known = (names, {}, np.zeros((KNOWN_WORDS, len(names))))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, hash_words, save
+from .common import claim, drop_saved, hash_words, save
 
 #: Insertions, deletions and substitutions that make near lines of each other, at most (1 or 2); and the characters of
 #: the shorter line that each edit needs, so that the bound grows with the line and no line becomes another word.
@@ -152,6 +152,7 @@ def _sharing(unique: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange("key", "a").sortWithinPartitions("key")
 
     def run(batches):
+        claim("lines")
         for batch in batches:
             key = batch.column(2).to_numpy()
             same = key[1:] == key[:-1]
@@ -192,6 +193,7 @@ def _variants(texts: DataFrame, edits: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.repeat(key[first], count), a[at], b[at], size[at])], names=["key", "win", "a", "b", "size"])
 
     def run(batches):
+        claim("lines")
         for batch in batches:
             rows, held = [], 0
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -227,6 +229,7 @@ def _near(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     rows = rows.repartition(*order).sortWithinPartitions(*order, "first", "role").select(*order, "win", "role", "a", "b", "first.doc_id", "first.line_no", "first.t", "line")
 
     def run(batches):
+        claim("lines")
         group, held = None, []
         for batch in batches:
             out = []
@@ -325,6 +328,7 @@ def without_duplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     @F.arrow_udf("string")
     def left(text: pa.Array, gone: pa.Array) -> pa.Array:
+        claim("lines")
         return pa.array([_without(t.as_py(), g.as_py()) if g.is_valid else None for t, g in zip(text, gone, strict=True)], pa.string())
 
     has = F.col("gone").isNotNull()

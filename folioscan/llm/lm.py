@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, save
+from .common import claim, hash_words, mix64, save
 
 #: Bytes of text that are counted and scored together; one block is one group of rows.
 BLOCK_BYTES = 8 << 20
@@ -72,6 +72,7 @@ def _count_block(order: int, n_buckets: int):
     """A block's distinct n-grams in key order, cut by key ranges, with their counts in its training texts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("lm")
         keys, _, sizes = _grams(pdf.text, order)
         train = np.repeat(pdf.train.to_numpy(), sizes)
         out = []

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_saved, hash_words, mix64, save
+from .common import claim, components, drop_saved, hash_words, mix64, save
 
 #: Words of a shingle, least similarity, bands and registers of a band.  A pair whose shingle sets have a similarity of
 #: 0.8, the measure that decides, meets in a band with probability 0.99997, a pair at 0.3 with 0.06.
@@ -83,6 +83,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, same binary, size int, keys array<long>"
 
     def run(batches):
+        claim("neardup")
         for batch in batches:
             got = [sketch(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["doc_id", "same", "size", "keys"])
@@ -102,6 +103,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     texts = save(docs.join(needed, "doc_id", "left_semi"), "near-texts")
 
     def run(batches):
+        claim("neardup")
         held: tuple = ("", None)
         for batch in batches:
             keep = []
@@ -137,6 +139,7 @@ def _compare_blocks(group: DataFrame, docs: DataFrame, least: float) -> DataFram
     rows = rows.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("neardup")
         ours = pdf.ours.to_numpy()
         ids, sets = pdf.rep.to_numpy(), [np.unique(shingles(t)) for t in pdf.text]
         n = np.array([len(x) for x in sets])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, save
+from .common import claim, hash_words, save
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -65,6 +65,7 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     schema = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bins array<int>"
 
     def run(batches):
+        claim("quality")
         for batch in batches:
             got = [measure(t.as_py()) for t in batch.column(2)]
             cols = list(zip(*got, strict=True)) if got else [[] for _ in range(6)]
@@ -116,6 +117,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: floa
     tests = max(1, counts.select("stratum").distinct().count()) * len(SIGNALS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("quality")
         cuts, seen = [], (0, 0)
         for s in range(len(SIGNALS)):
             x = pdf[pdf.signal == s]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, shared_dir
+from .common import claim, save, shared_dir
 
 #: ZIP's signatures and the sizes of its fixed parts.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\3\4", b"PK\1\2", b"PK\5\6", b"PK\6\6", b"PK\6\7"
@@ -157,6 +157,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     todo = rows.join(copies, "digest", "left").select("page_id", "url", "payload", F.when(~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first")).alias("first"))
 
     def run(batches):
+        claim("warc")
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         records, index, size = [], [], 0
@@ -223,6 +224,7 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = True) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[: len(names)], types, strict=True)], names=names)
 
     def run(batches):
+        claim("warc")
         fs, root = filesystem(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():

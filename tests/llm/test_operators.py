@@ -637,3 +637,16 @@ def test_pipeline_on_odd_tables(spark, tmp_path, case):
     spark.createDataFrame(table, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     left = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert [r.doc_id for r in left] == ([] if case != "no doc_id" else [None] * len(left)) and bool(left) == (case == "no doc_id")
+
+
+def test_a_worker_frees_what_another_operator_left(monkeypatch):
+    from folioscan.llm import common
+
+    freed = []
+    monkeypatch.setattr(common, "_held", ("", None))
+    for owner in ("a", "a", "b", "b", "a"):
+        common.claim(owner, lambda owner=owner: freed.append(owner))
+    assert freed == ["a", "b"]
+    langid.vocabulary(langid.VOCABULARY)
+    langid._free()
+    assert langid.vocabulary.cache_info().currsize == 0
