@@ -11,13 +11,13 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import claim
+from .common import claim, rest
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Fixed value: how this family of tokenizers splits a text before encoding.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's tables of pieces and of token pairs may hold before they start anew.
-PIECES, PAIRS = 350_000, 600_000
+PIECES, PAIRS = 150_000, 200_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -215,6 +215,7 @@ def encode_documents(docs: DataFrame, path: str = TOKENIZER, ids: bool = True) -
                     out["decoded"].append(decoded)
             types = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if ids else {})
             yield pa.RecordBatch.from_arrays([keys, *(pa.array(out[k], t) for k, t in types.items())], names=["doc_id", *types])
+        rest()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
@@ -227,5 +228,6 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
         bpe = tokenizer(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.count(t.as_py()) for t in batch.column(1)], pa.int64())], names=["doc_id", "n_tokens"])
+        rest()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long")

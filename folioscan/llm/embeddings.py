@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, components, save
+from .common import claim, components, rest, save
 
 #: Signs of a hash table, at least; the vectors of a label for which these do, four times BLOCK to a bucket.  Twice as
 #: many vectors take a sign more, so that buckets keep their size.
@@ -127,6 +127,7 @@ def _hash(reps: DataFrame, exact: str) -> DataFrame:
                 tables, powers = tables_for(int(signs)), 1 << np.arange(int(signs))
                 bits = (_unit(part.x) @ planes(int(dim), tables, int(signs)) > 0).reshape(len(part), tables, int(signs))
                 yield part.drop(columns="signs").assign(keys=list((bits * powers).sum(axis=2)))
+        rest()
 
     return reps.select("rep", "mult", "label", "dim", "signs", "x").mapInPandas(run, f"rep long, mult long, label long, dim int, x {exact}, keys array<long>")
 
@@ -158,6 +159,7 @@ def _blocks(least: float):
             held = pdf.iloc[cuts[-1] :]
         if held is not None and len(held):
             yield from collect(held, [0, len(held)])
+        rest()
 
     def collect(pdf, bounds):
         got = [g for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1 and (g := one(pdf.iloc[a:b])) is not None]

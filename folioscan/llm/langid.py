@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, save
+from .common import claim, rest, save
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: At most so many documents and bytes of a language are fitted on, those with the smallest hashes; a documented bound.
@@ -240,6 +240,7 @@ def train(docs: DataFrame, learn: Column, path: str = VOCABULARY, fit_docs: int
                 found.setdefault(lang, Counter()).update(words_of(text.as_py().lower()))
             cells = [(lang, w, n) for lang, c in found.items() for w, n in c.items()] or [(None, None, None)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+        rest()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         claim("langid", _free)
@@ -318,7 +319,7 @@ def _score(text: pa.Array, shared, path: str) -> pa.Array:
             end += 1
         out += _score_some(text.slice(at, end - at), v, names, prob)
         at = end
-    pa.default_memory_pool().release_unused()
+    rest()
     return pa.array([None if x is None else {"lang": x[0], "top": x[1], "total": x[2]} for x in out], pa.struct([("lang", pa.string()), ("top", pa.float64()), ("total", pa.float64())]))
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, drop_saved, hash_words, save
+from .common import claim, drop_saved, hash_words, rest, save
 
 #: Insertions, deletions and substitutions that make near lines of each other, at most (1 or 2); and the characters of
 #: the shorter line that each edit needs, so that the bound grows with the line and no line becomes another word.
@@ -159,6 +159,7 @@ def _sharing(unique: DataFrame) -> DataFrame:
             keep = np.ones(len(key), bool)
             keep[1:-1] = same[1:] | same[:-1]
             yield batch.select(["a", "slot"]).filter(pa.array(keep))
+        rest()
 
     return rows.mapInArrow(run, "a long, slot int")
 
@@ -205,6 +206,7 @@ def _variants(texts: DataFrame, edits: int) -> DataFrame:
                     rows, held = [], 0
             if rows and (got := some(rows)) is not None:
                 yield got
+        rest()
 
     return texts.select("a", "b", "line", "slots").mapInArrow(run, "key long, win long, a long, b long, size long")
 
@@ -250,6 +252,7 @@ def _near(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
             kinds = {"a": pa.int64(), "b": pa.int64(), "doc_id": pa.int64(), "line_no": pa.int32(), "t": pa.int64(), "far": pa.int32()}
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+        rest()
 
     return rows.mapInArrow(run, "a long, b long, doc_id long, line_no int, t long, far int")
 

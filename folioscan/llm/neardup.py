@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, components, drop_saved, hash_words, mix64, save
+from .common import claim, components, drop_saved, hash_words, mix64, rest, save
 
 #: Words of a shingle, least similarity, bands and registers of a band.  A pair whose shingle sets have a similarity of
 #: 0.8, the measure that decides, meets in a band with probability 0.99997, a pair at 0.3 with 0.06.
@@ -87,6 +87,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             got = [sketch(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["doc_id", "same", "size", "keys"])
+        rest()
 
     return docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text").mapInArrow(run, schema)
 
@@ -115,6 +116,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        rest()
 
     left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
     both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, hash_words, save
+from .common import claim, hash_words, rest, save
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -71,6 +71,7 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
             cols = list(zip(*got, strict=True)) if got else [[] for _ in range(6)]
             arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array([list(x) for x in cols[5]], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=[x.split(" ")[0] for x in schema.split(", ")])
+        rest()
 
     key = F.coalesce(F.concat(F.lit("="), F.col(f"`{stratum}`").cast("string")), F.lit("null"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("stratum"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
