@@ -12,6 +12,16 @@ from folioscan.llm.common import crc_mod, delete, scratch, shared_dir
 
 #: Documents whose language is less likely than this are rejected, as are those without letters.
 LEAST_SCORE = 0.5
+#: Bytes of a batch that goes to a Python worker: the executor and the worker hold one or two for each task at once.
+BATCH_BYTES = 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From here on the session hands out texts in batches of BATCH_BYTES, unless it was told to use smaller ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def _columns(docs: DataFrame) -> list:
@@ -25,6 +35,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     doc_id are judged like others, repeated rows alike, long texts whole.  If no row has a lang, no language can be
     told and all rows go; an empty table stays empty.  Other columns are carried along, whatever their names.
     """
+    _small_batches(spark)
     model = langid.train(docs, crc_mod("doc_id", 4) != 2)
     found = langid.predict(docs, model)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
@@ -36,6 +47,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without a doc_id keep all lines, rows that share one lose lines by their own text; rows that repeat doc_id and
     text lose the same lines.  Texts without a word stay as they are; n_chars follows the text where lines went.
     """
+    _small_batches(spark)
     return lines.without_duplicate_lines(docs)
 
 
@@ -45,6 +57,7 @@ def drop_near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Of rows that share a doc_id one stays, that with the smallest hash of all its columns (equal rows are the same);
     rows without a doc_id, and texts without words, stay.
     """
+    _small_batches(spark)
     kept = neardup.near_documents(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     tie = F.xxhash64(*_columns(docs))
     rows = docs.select(F.struct(*_columns(docs)).alias("row"), F.col("doc_id").alias("id"), tie.alias("tie"))
@@ -64,6 +77,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per document that is left: doc_id (may be null), n_tokens, ids_sha256, decoded_sha256; a null text has no tokens."""
+    _small_batches(spark)
     return bpe.encode_documents(docs, ids=False)
 
 
