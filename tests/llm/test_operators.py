@@ -650,3 +650,30 @@ def test_a_worker_frees_what_another_operator_left(monkeypatch):
     langid.vocabulary(langid.VOCABULARY)
     langid._free()
     assert langid.vocabulary.cache_info().currsize == 0
+
+
+def test_quality_cutoffs_against_a_plain_version(spark):
+    rnd = random.Random(17)
+    table, labels = [], []
+    for i in range(9000):
+        stratum, bad = "=ab"[i % 2 + 1], rnd.random() < 0.2
+        table.append((i, stratum, i % 50 == 0, [min(127, int(rnd.expovariate(1 / (25 if bad and s < 3 else 4)))) for s in range(len(quality.SIGNALS))]))
+        labels.append((i, None if i % 31 == 0 else int(not bad)))
+    df = spark.createDataFrame(table, "doc_id long, stratum string, base_failed boolean, bins array<int>")
+    got = {r.stratum: (r.cuts, r.good, r.bad) for r in quality.cutoffs(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    truth, tests = dict(labels), 2 * len(quality.SIGNALS)
+    alpha, delta = 0.03 / len(quality.SIGNALS), 0.05 / tests
+    for name in "ab":
+        rows = [(b, truth[i]) for i, s, failed, b in table if s == name and not failed and truth[i] is not None]
+        good, bad = [b for b, q in rows if q], [b for b, q in rows if not q]
+        cuts = []
+        for s in range(len(quality.SIGNALS)):
+            best = 127
+            for c in range(126, -1, -1):
+                k, j, n = sum(b[s] > c for b in good), sum(b[s] > c for b in bad), len(good)
+                if sum(math.comb(n, x) * alpha**x * (1 - alpha) ** (n - x) for x in range(k + 1)) > delta:
+                    break
+                if j and j / len(bad) >= 3 * k / n:
+                    best = c
+            cuts.append(best)
+        assert got[name] == (cuts, len(good), len(bad)) and min(cuts[:3]) < 127
