@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.arrow import rows_of
 
 #: Macros that every source knows, and entry types that catalogues index well.
 MONTHS = {m[:3].lower(): m for m in ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")}
@@ -166,3 +167,8 @@ def entries(sources: DataFrame) -> DataFrame:
         F.coalesce(*[X.arxiv_id(get(n)) for n in ("eprint", "url", "note", "journal", "howpublished")]).alias("arxiv"), F.coalesce(first(*[plain(get(n)) for n in ("journal", "booktitle", "publisher")]), F.lit("")).alias("venue"),
         F.coalesce(get("url"), F.lit("")).alias("url"), F.col("type").isin(*INDEXABLE).alias("indexable"),
     )
+
+
+def warnings(sources: DataFrame) -> DataFrame:
+    """doc_id, line, message: what is wrong in ``sources`` (doc_id, src): keys defined again or absent, entries that never close."""
+    return rows_of(sources, ["src"], lambda src: [(w["line"], w["message"]) for w in parse(src)[1]], [("line", "int", pa.int32()), ("message", "string", pa.string())])

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import rows_of
+
 #: Commands that cite.
 CITE_COMMANDS = (
     "cite", "citep", "citet", "citealp", "citealt", "citeauthor", "citeyear", "citeyearpar", "citenum", "citetext", "parencite", "textcite", "autocite", "smartcite", "footcite",
@@ -26,6 +32,28 @@ def citations(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lower(F.regexp_extract("m", r"(?i)^\\([a-z]+?)s?(?=\*|\s|\[|\{)", 1)).alias("command"), keys.alias("keys"))
 
 
+_SPANS = re.compile(r"(?<!\\)%[^\n]*|\\(?P<command>(?:" + "|".join(CITE_COMMANDS) + r")s?)(?P<star>\*?)(?P<options>(?:\s*\[[^\]]*\]){0,2})\s*\{(?P<keys>[^{}]*)\}", re.I)
+
+
+def _spans(text: str) -> list[tuple]:
+    breaks, out = [m.start() for m in re.finditer("\n", text)], []
+    for m in _SPANS.finditer(text):
+        if m["command"]:
+            keys = [k.strip() for k in m["keys"].split(",")]
+            out.append((m["command"], bool(m["star"]), m["options"], [k for k in keys if k], m.start(), m.end(), m.start("keys"), 1 + bisect.bisect_left(breaks, m.start())))
+    return out
+
+
+def citation_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, command, star, options, keys, start, end, keys_start, line: each citation outside of comments with its place.
+
+    Commands are as they are written; places are code points from 0, lines count from 1.  ``docs`` is that of ``citations``.
+    """
+    ints = [(n, "int", pa.int32()) for n in ("start", "end", "keys_start", "line")]
+    schema = [("command", "string", pa.string()), ("star", "boolean", pa.bool_()), ("options", "string", pa.string()), ("keys", "array<string>", pa.list_(pa.string())), *ints]
+    return rows_of(docs.where("filetype = 'tex' and contains(text, '{')"), ["text"], _spans, schema)
+
+
 def used_keys(cites: DataFrame) -> DataFrame:
     """doc_id, key: keys that a document cites, each once; ``*`` is no key."""
     return cites.select("doc_id", F.explode("keys").alias("key")).where("key <> '*'").distinct()
