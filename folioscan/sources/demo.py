@@ -15,7 +15,7 @@ It's worth noting that a plethora of tools delve into it.
 \section{Work}
 We extend skip links~\citet{hill2016skip}. The **main point** is size.
 As an AI language model, I am unable to run this.
-Numbers are in [insert table here].
+Numbers are in [insert reference here].
 \begin{verbatim}
 As an AI language model, I am unable to help.
 \end{verbatim}
