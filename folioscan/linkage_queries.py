@@ -13,21 +13,40 @@ _SPACES = r"[ \t-\r]+"
 
 
 def _words(spark, sf_dir):
-    """doc_id and words of documents with at least fourteen."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
-    return docs.select("doc_id", F.split("text", _SPACES).alias("w")).where(F.size("w") >= 14)
+    """doc_id, text and all words of documents; a null text is empty."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.withColumn("w", F.split("text", _SPACES))
+
+
+def _runs(n: int):
+    """The words in runs of ``n``, the last one shorter."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / n).cast("int")), lambda i: F.slice("w", i * n + 1, n))
+
+
+_LETTERS = ("0123456789", "ghijklmnop")
+
+
+def _digest(salt: str, n: int):
+    """``n`` words of eight letters, at most eight, made from the whole text."""
+    letters = F.translate(F.sha2(F.concat(F.lit(salt), F.col("text")), 256), *_LETTERS)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(letters, i * 8 + 1, F.lit(8)))
+
+
+def _works(spark, sf_dir):
+    """doc_id, t, names: the words of a title and of authors' names that every sign of a text has a part in; copies share them."""
+    return _words(spark, sf_dir).select("doc_id", "text", _digest("t", 8).alias("t"), _digest("a", 3).alias("names"))
 
 
 def _part(a: int, n: int):
-    return F.array_join(F.slice("w", a, n), " ")
+    return F.array_join(F.slice("t", a, n), " ")
 
 
 def catalog(spark, sf_dir):
-    """A record per document: its first words as title, those behind as authors."""
+    """A record per document, with a title and authors made from its whole text."""
     k = F.col("doc_id")
     source = F.element_at(F.array(*map(F.lit, linkage.SOURCES)), (k % 4 + 1).cast("int"))
-    return _words(spark, sf_dir).select(
-        k.alias("record"), source.alias("source"), _part(1, 8).alias("title"), F.slice("w", 9, 3).alias("authors"), (1990 + k % 35).cast("int").alias("year"), F.concat(F.lit("10.1000/"), k.cast("string")).alias("doi"),
+    return _works(spark, sf_dir).select(
+        k.alias("record"), source.alias("source"), _part(1, 8).alias("title"), F.col("names").alias("authors"), (1990 + k % 35).cast("int").alias("year"), F.concat(F.lit("10.1000/"), k.cast("string")).alias("doi"),
         F.when(k % 5 == 0, F.format_string("2106.%05d", k % 100000)).alias("arxiv"), F.lit("").alias("venue"),
     )
 
@@ -38,8 +57,8 @@ def entries(spark, sf_dir):
     year = 1990 + k % 35 + F.when(fault == 1, 1).when(fault == 2, 4).otherwise(0)
     title = F.when(fault.isin(5, 7), F.concat(F.lit("Unheard of "), F.md5(k.cast("string")))).when(fault == 6, F.concat(_part(1, 1), F.lit(" "), _part(3, 6))).otherwise(_part(1, 8))
     doi = F.when(fault == 4, F.concat(F.lit("10.1000/"), (k + 1).cast("string"))).when(fault == 5, F.concat(F.lit("10.9999/"), k.cast("string"))).when(k % 3 == 0, F.concat(F.lit("10.1000/"), k.cast("string")))
-    return _words(spark, sf_dir).select(
-        k.alias("id"), F.when(k % 7 == 0, "book").otherwise("article").alias("type"), title.alias("title"), F.when(fault == 3, "Nobody, Ann").otherwise(F.array_join(F.slice("w", 9, 3), " and ")).alias("author"), year.cast("string").alias("year"), doi.alias("doi"),
+    return _works(spark, sf_dir).select(
+        k.alias("id"), F.when(k % 7 == 0, "book").otherwise("article").alias("type"), title.alias("title"), F.when(fault == 3, "Nobody, Ann").otherwise(F.array_join("names", " and ")).alias("author"), year.cast("string").alias("year"), doi.alias("doi"),
         F.lit(None).cast("string").alias("arxiv"),
     )
 
@@ -64,9 +83,10 @@ def q_id_links(spark, sf_dir):
     return entries(spark, sf_dir).select("id", F.lower("doi").alias("doi")).join(found, "doi").select("id", "doi", "source", F.col("c.title").alias("title"))
 
 
-_W_SQL = r"WITH w AS (SELECT doc_id, string_split_regex(text, '[ \t-\r]+') AS w FROM documents WHERE doc_id IS NOT NULL), v AS (SELECT * FROM w WHERE len(w) >= 14) "
-_ID_LINKS_SQL = _W_SQL + """, e AS (SELECT doc_id AS id, CASE doc_id % 8 WHEN 4 THEN '10.1000/' || (doc_id + 1) WHEN 5 THEN '10.9999/' || doc_id ELSE CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || doc_id END END AS doi FROM v)
-SELECT e.id, e.doi, (['Semantic Scholar', 'CrossRef', 'OpenAlex', 'DBLP'])[v.doc_id % 4 + 1] AS source, array_to_string(v.w[1:8], ' ') AS title FROM e JOIN v ON e.doi = '10.1000/' || v.doc_id"""
+_W_SQL = r"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL), v AS (SELECT doc_id, text, string_split_regex(text, '[ \t-\r]+') AS w FROM d) "
+_ID_LINKS_SQL = _W_SQL + """, e AS (SELECT doc_id AS id, CASE doc_id % 8 WHEN 4 THEN '10.1000/' || (doc_id + 1) WHEN 5 THEN '10.9999/' || doc_id ELSE CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || doc_id END END AS doi FROM d),
+t AS (SELECT doc_id, translate(sha256('t' || text), '0123456789', 'ghijklmnop') AS x FROM d)
+SELECT e.id, e.doi, (['Semantic Scholar', 'CrossRef', 'OpenAlex', 'DBLP'])[t.doc_id % 4 + 1] AS source, array_to_string(list_transform(range(8), lambda i: x[i * 8 + 1:i * 8 + 8]), ' ') AS title FROM e JOIN t ON e.doi = '10.1000/' || t.doc_id"""
 
 
 def _letters(c):
@@ -74,27 +94,37 @@ def _letters(c):
 
 
 _NAMES = ("Smith", "Jones", "Brown")
+#: The list begins with these, so that a short text has enough of them too; numbers have three digits at most.
+_FIRST = ["Open questions", "Known answers", "Further work"]
 
 
-def _listed(spark, sf_dir):
-    """A text with a heading, three numbered references over two lines each, and an appendix, per document."""
-    one = lambda k: F.format_string(f"[{k + 1}] A. {_NAMES[k]}.\n   %s. Journal of Things, %d.\n", _letters(_part(1 + 5 * k, 4 if k else 8)), 2001 + F.col("doc_id") % 20)
-    return _words(spark, sf_dir).select("doc_id", F.concat(F.lit("Text before.\nReferences\n"), *[one(k) for k in range(3)], F.lit("Appendix A\n[4] C. White. Not a reference of this list. 2003.\n")).alias("text"))
+def _listed(docs, titles):
+    """A text with a heading, numbered references over two lines each, and an appendix, per document."""
+    one = lambda t, i: F.concat(F.lit("["), (i % 999 + 1).cast("string"), F.lit("] A. "), F.element_at(F.array(*map(F.lit, _NAMES)), i % 3 + 1), F.lit(".\n   On "), t, F.lit(". Journal of Things, "), (2001 + F.col("doc_id") % 20).cast("string"), F.lit(".\n"))
+    items = F.array_join(F.transform(F.concat(F.array(*map(F.lit, _FIRST)), titles), one), "")
+    return docs.select("doc_id", F.concat(F.lit("Text before.\nReferences\n"), items, F.lit("Appendix A\n[4] C. White. Not a reference of this list. 2003.\n")).alias("text"))
 
 
 def q_references(spark, sf_dir):
-    """References split from texts."""
-    return refs.references(_listed(spark, sf_dir)).select("doc_id", "index", "text")
+    """References split from lists that hold all words of documents, fourteen to a title."""
+    docs = _words(spark, sf_dir)
+    return refs.references(_listed(docs, F.transform(_runs(14), lambda r: _letters(F.array_join(r, " "))))).select("doc_id", "index", "text")
 
 
-_REFS_SQL = _W_SQL + ", r AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, {k} AS k, 'A. {n}. ' || trim(regexp_replace(regexp_replace(array_to_string(w[{1 + 5 * k}:{4 + 5 * k if k else 8}], ' '), '[^a-zA-Z ]', '', 'g'), ' +', ' ', 'g')) || '. Journal of Things, ' || (2001 + doc_id % 20) || '.' AS t FROM v" for k, n in enumerate(_NAMES)
-) + "), c AS (SELECT doc_id, k, regexp_replace(t, ' +', ' ', 'g') AS text FROM r) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT AS index, text FROM c WHERE length(text) BETWEEN 30 AND 1200 AND NOT contains(text, '. . Journal')"
+_PLAIN_SQL = "trim(regexp_replace(regexp_replace({}, '[^a-zA-Z ]', '', 'g'), ' +', ' ', 'g'))"
+#: Of references that begin with the same letters and digits, the first counts.
+_REFS_SQL = _W_SQL + f""", r AS (SELECT doc_id, unnest(range((len(w) - 1) // 14 + 1)) AS i, w FROM v),
+t AS (SELECT doc_id, i + {len(_FIRST)} AS k, {_PLAIN_SQL.format("array_to_string(w[i * 14 + 1:i * 14 + 14], ' ')")} AS t FROM r UNION ALL SELECT doc_id, unnest(range({len(_FIRST)})), unnest({_FIRST}) FROM d),
+c AS (SELECT doc_id, k, 'A. ' || ({list(_NAMES)})[k % 3 + 1] || '. On ' || t || '. Journal of Things, ' || (2001 + doc_id % 20) || '.' AS text FROM t),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))[1:{refs.SAME_CHARS}] ORDER BY k) AS nth FROM c WHERE length(text) BETWEEN {refs.SHORTEST} AND {refs.LONGEST})
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT AS index, text FROM f WHERE nth = 1"""
 
 
 def q_reference_verdict(spark, sf_dir):
-    """Verdicts on references split from texts."""
-    r = refs.references(_listed(spark, sf_dir)).select((F.col("doc_id") * 10 + F.col("index")).alias("id"), "text", "raw")
+    """Verdicts on references split from lists: a record's title, the same without a word, and a made-up one."""
+    own = _works(spark, sf_dir).withColumn("u", F.array_join(_digest("u", 8), " "))
+    lists = _listed(own, F.array(_part(1, 8), F.concat(_part(1, 1), F.lit(" "), _part(3, 6)), F.col("u")))
+    r = refs.references(lists).select((F.col("doc_id") * 10 + F.col("index")).alias("id"), "text", "raw")
     v = linkage.verify_references(r, catalog(spark, sf_dir))
     return v.select("id", "status", F.round("score", 4).cast("decimal(10,4)").alias("score"), F.col("matched.source").alias("source"), "note")
 
@@ -105,15 +135,14 @@ def q_guess_title(spark, sf_dir):
 
 
 def q_bibitems(spark, sf_dir):
-    """Items of embedded bibliographies."""
-    item = lambda n, t: F.concat(F.lit(f"\\bibitem[{n}]{{k{n}}} \\newblock {{\\em "), t, F.lit("}, 2004.\n"))
-    src = F.concat(F.lit("\\begin{thebibliography}{9}\n"), item(1, _letters(_part(1, 5))), F.lit("% \\bibitem{gone} out\n"), item(2, _letters(_part(6, 5))), F.lit("\\end{thebibliography}"))
+    """Items of embedded bibliographies that hold all words of documents, five to a title; one item is commented out."""
+    item = lambda t, i: F.concat(F.when(i == 1, "% \\bibitem{gone} out\n").otherwise(""), F.lit("\\bibitem["), (i + 1).cast("string"), F.lit("]{k"), (i + 1).cast("string"), F.lit("} \\newblock {\\em "), _letters(F.array_join(t, " ")), F.lit("}, 2004.\n"))
+    src = F.concat(F.lit("\\begin{thebibliography}{9}\n"), F.array_join(F.transform(_runs(5), item), ""), F.lit("\\end{thebibliography}"))
     return refs.embedded(_words(spark, sf_dir).select("doc_id", src.alias("text"))).select("doc_id", "key", "label", "text", "line")
 
 
-_ITEMS_SQL = _W_SQL + " UNION ALL ".join(
-    f"SELECT doc_id, 'k{n}' AS key, '{n}' AS label, trim(regexp_replace(' ' || trim(regexp_replace(regexp_replace(array_to_string(w[{a}:{a + 4}], ' '), '[^a-zA-Z ]', '', 'g'), ' +', ' ', 'g')) || ' , 2004.', ' +', ' ', 'g')) AS text, {n if n == 2 else 1} * 2 AS line FROM v" for n, a in ((1, 1), (2, 6))
-)
+_ITEMS_SQL = _W_SQL + f""", r AS (SELECT doc_id, unnest(range((len(w) - 1) // 5 + 1)) AS i, w FROM v), t AS (SELECT doc_id, i, {_PLAIN_SQL.format("array_to_string(w[i * 5 + 1:i * 5 + 5], ' ')")} AS t FROM r)
+SELECT doc_id, 'k' || (i + 1) AS key, (i + 1)::VARCHAR AS label, trim(regexp_replace(' ' || t || ' , 2004.', ' +', ' ', 'g')) AS text, (i + 2 + (i > 0)::INT)::INT AS line FROM t"""
 
 
 def q_bib_resources(spark, sf_dir):
@@ -174,9 +203,6 @@ def q_archives(spark, sf_dir):
 
 
 
-_LETTERS = ("0123456789", "ghijklmnop")
-
-
 def _named_works(spark, sf_dir, source):
     """A record per document whose title and authors are its own: words made of its doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null").select("doc_id").distinct()

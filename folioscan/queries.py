@@ -120,31 +120,33 @@ SELECT key, 'missing' AS state FROM (SELECT key FROM used EXCEPT SELECT key FROM
 
 
 def _titles(spark, sf_dir):
-    """Two titles and author fields per document, the second with changes that hang on doc_id."""
+    """Two titles and author fields per run of fourteen words of a document, the second with changes that hang on doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
-    word = F.split("text", r"[ \t-\r]+")
-    some = lambda a, n: F.array_join(F.slice(word, a, n), " ")
-    return docs.where(F.size(word) >= 14).select(
-        "doc_id", some(1, 8).alias("a"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("{\\em "), some(1, 8), F.lit("}"))).when(F.col("doc_id") % 3 == 1, some(2, 8)).otherwise(some(1, 6)).alias("b"),
-        F.array_join(F.slice(word, 9, 3), " and ").alias("names"), F.array_join(F.slice(word, 10, 3), " and ").alias("others"),
-    )
+    words = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+").alias("w"))
+    runs = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 14).cast("int"))).alias("run"))
+    runs = runs.select("doc_id", "run", F.slice("w", F.col("run") * 14 + 1, 14).alias("w"))
+    some = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    names = lambda a: F.array_join(F.transform(F.slice("w", a, 3), lambda x: F.concat(F.lit("N"), F.regexp_replace(x, "[{}]", ""))), " and ")
+    change = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("{\\em "), some(1, 8), F.lit("}"))).when(F.col("doc_id") % 3 == 1, some(2, 8)).otherwise(some(1, 6))
+    return runs.select("doc_id", "run", some(1, 8).alias("a"), change.alias("b"), names(9).alias("names"), names(10).alias("others"))
 
 
 def q_title_similarity(spark, sf_dir):
     """Normalised titles and their similarity, and the overlap of last names."""
-    t = _titles(spark, sf_dir).select("doc_id", X.normalize_title(F.col("a")).alias("a"), X.normalize_title(F.col("b")).alias("b"), X.author_last_names(F.col("names")).alias("n"), X.author_last_names(F.col("others")).alias("m"))
-    return t.select("doc_id", "a", "b", F.round(X.title_similarity(F.col("a"), F.col("b")), 4).cast("decimal(10,4)").alias("similarity"), F.round(X.author_overlap(F.col("n"), F.col("m")), 4).cast("decimal(10,4)").alias("overlap"))
+    t = _titles(spark, sf_dir).select("doc_id", "run", X.normalize_title(F.col("a")).alias("a"), X.normalize_title(F.col("b")).alias("b"), X.author_last_names(F.col("names")).alias("n"), X.author_last_names(F.col("others")).alias("m"))
+    return t.select("doc_id", "run", "a", "b", F.round(X.title_similarity(F.col("a"), F.col("b")), 4).cast("decimal(10,4)").alias("similarity"), F.round(X.author_overlap(F.col("n"), F.col("m")), 4).cast("decimal(10,4)").alias("overlap"))
 
 
 def _plain_sql(c: str) -> str:
     return f"strip_accents(lower({c}))"
 
 
-_TITLE_SQL = rf"""WITH w AS (SELECT doc_id, string_split_regex(text, '[ \t-\r]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-t AS (SELECT doc_id, array_to_string(w[1:8], ' ') AS a, CASE doc_id % 3 WHEN 0 THEN '{{\em ' || array_to_string(w[1:8], ' ') || '}}' WHEN 1 THEN array_to_string(w[2:9], ' ') ELSE array_to_string(w[1:6], ' ') END AS b,
- w[9:11] AS n, w[10:12] AS m FROM w WHERE len(w) >= 14),
-u AS (SELECT doc_id, {{norm_a}} AS a, {{norm_b}} AS b, {{last_n}} AS n, {{last_m}} AS m FROM t)
-SELECT doc_id, a, b, CAST(round(CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 ELSE greatest(1 - levenshtein(a, b) / greatest(length(a), length(b)),
+_TITLE_SQL = rf"""WITH v AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[ \t-\r]+') AS w FROM documents WHERE doc_id IS NOT NULL), r AS (SELECT doc_id, unnest(range((len(w) - 1) // 14 + 1)) AS i, w FROM v),
+w AS (SELECT doc_id, i::INT AS run, w[i * 14 + 1:i * 14 + 14] AS w FROM r),
+t AS (SELECT doc_id, run, array_to_string(w[1:8], ' ') AS a, CASE doc_id % 3 WHEN 0 THEN '{{\em ' || array_to_string(w[1:8], ' ') || '}}' WHEN 1 THEN array_to_string(w[2:9], ' ') ELSE array_to_string(w[1:6], ' ') END AS b,
+ list_transform(w[9:11], lambda x: 'N' || regexp_replace(x, '[{{}}]', '', 'g')) AS n, list_transform(w[10:12], lambda x: 'N' || regexp_replace(x, '[{{}}]', '', 'g')) AS m FROM w),
+u AS (SELECT doc_id, run, {{norm_a}} AS a, {{norm_b}} AS b, {{last_n}} AS n, {{last_m}} AS m FROM t)
+SELECT doc_id, run, a, b, CAST(round(CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 ELSE greatest(1 - levenshtein(a, b) / greatest(length(a), length(b)),
  len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' '))))) END, 4) AS DECIMAL(10,4)) AS similarity,
  CAST(round(CASE WHEN len(n) = 0 THEN 1 WHEN len(m) = 0 THEN 0 ELSE len(list_filter(n, lambda x: list_contains(m, x))) / len(n) END, 4) AS DECIMAL(10,4)) AS overlap FROM u"""
 _norm = lambda c: "trim(regexp_replace(" + _plain_sql(f"regexp_replace(regexp_replace({c}, '\\\\[a-zA-Z]+\\s*', ' ', 'g'), '[{{}}$\\\\]', '', 'g')") + ", '[^a-z0-9]+', ' ', 'g'))"
@@ -180,9 +182,9 @@ def q_crc32(spark, sf_dir):
 
 
 def _bib_sources(spark, sf_dir):
-    """A BibTeX source of one or two entries per document."""
+    """A BibTeX source of one or two entries per document, with the letters of its whole text as a title."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
-    title = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(60)), "[^a-zA-Z ]", "")
+    title = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", "")
     one = F.format_string('@Article{k%d,\n  title = {The {X} %s},\n  author = "Lee, A. and Kim, B.", year = %d,\n  doi = {https://doi.org/10.1000/%d}, month = mar # " 3"\n}\n', F.col("doc_id"), title, 1990 + F.col("doc_id") % 35, F.col("doc_id"))
     two = F.when(F.col("doc_id") % 3 == 0, F.format_string("@misc(k%d, title = {Again}, eprint = {2106.%05d})\n", F.col("doc_id"), F.col("doc_id") % 100000)).otherwise("% @misc{gone, title = {x}}\n")
     return docs.select("doc_id", F.concat(one, two).alias("src"))
@@ -194,7 +196,7 @@ def q_bib_entries(spark, sf_dir):
     return e.select("doc_id", "type", "key", "line", F.trim(F.regexp_replace("title", " +", " ")).alias("title"), "year", "doi", "arxiv", F.coalesce(F.col("fields")["month"]["value"], F.lit("")).alias("month"))
 
 
-_BIB_SQL = """WITH d AS (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 60), '[^a-zA-Z ]', '', 'g') AS t FROM documents WHERE doc_id IS NOT NULL)
+_BIB_SQL = """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g') AS t FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id, 'article' AS type, 'k' || doc_id AS key, 1::INT AS line, trim(regexp_replace('The X ' || t, ' +', ' ', 'g')) AS title, (1990 + doc_id % 35)::VARCHAR AS year, '10.1000/' || doc_id AS doi, NULL::VARCHAR AS arxiv, 'March 3' AS month FROM d
 UNION ALL SELECT doc_id, 'misc', 'k' || doc_id, 6::INT, 'Again', NULL, NULL, '2106.' || lpad((doc_id % 100000)::VARCHAR, 5, '0'), '' FROM d WHERE doc_id % 3 = 0"""
 
