@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -109,6 +110,15 @@ def member_start(f, entry: dict) -> int:
     return entry["offset"] + 30 + n + m
 
 
+def index_lines(f, members: dict[str, dict]):
+    """Lines of every index of an archive, in gzip parts or plain; indexes of such parts (``.idx``) and heads say nothing of records."""
+    for name in sorted(m for m in members if m.startswith("indexes/") and m.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"))):
+        f.seek(member_start(f, members[name]))
+        data = f.read(members[name]["size"])
+        lines = (gzip.decompress(data) if name.endswith(".gz") else data).decode().splitlines()
+        yield from (x for x in lines if "{" in x and not x.startswith("!"))
+
+
 def _name(key) -> str:
     return f"<urn:page:{'none' if key is None else key}>"
 
@@ -192,7 +202,7 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = True) -> Dat
 
     Columns: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload (null for
     revisits).  A response whose bytes don't give its digest is an error.  Nothing is extracted or read as a whole
-    except the index and the central directory.
+    except the indexes, which may be compressed, and the central directory.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload string" if payload else "")
     names = [x.split(" ")[0] for x in schema.split(", ")]
@@ -202,23 +212,19 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = True) -> Dat
         info = fs.get_file_info(path)
         with fs.open_input_file(path) as f:
             members = zip_directory(f, info.size)
-            for name in sorted(m for m in members if m.startswith("indexes/")):
-                start = member_start(f, members[name])
-                f.seek(start)
-                lines = f.read(members[name]["size"]).decode().splitlines()
-                starts = {}
-                for line in lines:
-                    at = json.loads(line[line.index("{") :])
-                    member = f"archive/{at['filename']}"
-                    if member not in starts:
-                        starts[member] = member_start(f, members[member])
-                    f.seek(starts[member] + at["offset"])
-                    warc, http, body = parse_record(zlib.decompress(f.read(at["length"]), 31))
-                    digest, kind = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"]
-                    if kind == "response" and (base64.b32encode(hashlib.sha1(body).digest()).decode() != digest or len(body) != int(http["content-length"])):
-                        raise ValueError(f"{path}: a record's payload does not give its digest")
-                    refers = _key(warc["warc-refers-to"]) if kind == "revisit" else None
-                    yield _key(warc["warc-record-id"]), warc.get("warc-target-uri"), int(http["content-length"]), digest, kind, refers, body.decode() if kind == "response" and payload else None
+            starts = {}
+            for line in index_lines(f, members):
+                at = json.loads(line[line.index("{") :])
+                member = f"archive/{at['filename']}"
+                if member not in starts:
+                    starts[member] = member_start(f, members[member])
+                f.seek(starts[member] + int(at["offset"]))
+                warc, http, body = parse_record(zlib.decompress(f.read(int(at["length"])), 31))
+                digest, kind = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"]
+                if kind == "response" and (base64.b32encode(hashlib.sha1(body).digest()).decode() != digest or len(body) != int(http["content-length"])):
+                    raise ValueError(f"{path}: a record's payload does not give its digest")
+                refers = _key(warc["warc-refers-to"]) if kind == "revisit" else None
+                yield _key(warc["warc-record-id"]), warc.get("warc-target-uri"), int(http["content-length"]), digest, kind, refers, body.decode() if kind == "response" and payload else None
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[: len(names)], types, strict=True)], names=names)

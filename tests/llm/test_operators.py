@@ -375,6 +375,22 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid.forward(v, many, prob), [langid._forward_long(v, w, prob) for w in many])
 
 
+def test_warc_with_a_compressed_index(spark, tmp_path):
+    import gzip
+    import json
+
+    records = [warc.warc_record(k, f"http://a.b/{k}", b"x" * k)[0] for k in range(40)]
+    packed = [gzip.compress(r) for r in records]
+    at = [sum(map(len, packed[:k])) for k in range(41)]
+    line = lambda k: f"com,a)/{k} 20200101000000 {json.dumps({'offset': str(at[k]), 'length': str(len(packed[k])), 'filename': 'data.warc.gz'})}\n".encode()
+    parts = [gzip.compress(b'!meta 0 {"format": "x"}\n' + b"".join(map(line, range(25)))), gzip.compress(b"".join(map(line, range(25, 40))))]
+    second = b'!meta 0 {"format": "cdxj-gzip-1.0", "filename": "index.cdx.gz"}\ncom,a)/0 20200101000000 {"offset": 0, "length": 9, "filename": "index.cdx.gz"}\n'
+    members = [("datapackage.json", b"{}"), ("indexes/index.idx", second), ("indexes/index.cdx.gz", b"".join(parts)), ("archive/data.warc.gz", b"".join(packed))]
+    (tmp_path / "one.wacz").write_bytes(warc.zip_stored(members))
+    got = warc.read_archives(spark.createDataFrame([("one.wacz",)], "archive string"), f"file://{tmp_path}").collect()
+    assert sorted((r.page_id, r.url, r.payload) for r in got) == [(k, f"http://a.b/{k}", "x" * k) for k in range(40)]
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/é x", "<p>hi</p>"), (2, None, "<p>hi</p>"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 50_000), (None, "u", "<p>hi</p>"), (None, None, "alone"), (2, None, "<p>hi</p>"), (1, "again", "<p>hi</p>")]
     df = spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, bytes int, digest string")
